@@ -136,4 +136,6 @@ GRAMMAR_RULES = [
     ("MISSING_SPACE_AFTER_COMMA", r",(\p{L})", ", $1"),
     ("TEH_TYPO", r"(^|[^\p{L}])teh([^\p{L}]|$)", "$1the$2"),
     ("COMMA_PERIOD", r",\.", "."),
+    ("REPEATED_PUNCTUATION", r"([!?])[!?]+", "$1"),
+    ("MISSING_SPACE_AFTER_SENTENCE", r"([.!?])(\p{Lu})", "$1 $2"),
 ]

@@ -144,3 +144,11 @@ def correct_text(t: str) -> str:
     for _, p, r in fixed.GRAMMAR_RULES:
         out = f"regexp_replace({out}, {q(p)}, {q(duck_repl(r))}, 'g')"
     return out
+
+
+def anonymize(t: str) -> str:
+    from scorewright.functions.text import ANON_RULES
+    out = t
+    for p, r in ANON_RULES:
+        out = f"regexp_replace({out}, {q(p)}, {q(duck_repl(r))}, 'g')"
+    return out
