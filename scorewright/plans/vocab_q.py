@@ -1 +1,144 @@
-"""(filled in below)"""
+"""Vocabulary, TF-IDF, sequence and vector queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scorewright.functions import text as T
+from scorewright.operators import vocab as V
+from scorewright.plans import sql as S
+from scorewright.plans.catalog import query, rounded
+from scorewright.sources import essays, load
+
+E = S.ESSAYS
+
+TF_SQL = f"""WITH {E},
+terms AS (SELECT id, unnest({S.remove_stopwords(S.vocabulary_terms('text'))}) AS term FROM essays),
+tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY id, term),
+stats AS (SELECT term, count(*) AS df, sum(tf) AS n FROM tf GROUP BY term),
+nd AS (SELECT count(*)::DOUBLE AS nd FROM essays)"""
+
+VOCAB_SQL = f"""{TF_SQL},
+vocab AS (SELECT term, df, n FROM stats, nd WHERE df >= 3 AND df <= 0.2 * nd.nd ORDER BY n DESC, term LIMIT 2000)"""
+
+# TF-IDF vocabulary parameters of the reference's regression features
+MIN_DF, MAX_DF, MAX_FEATURES = 3, 0.2, 2000
+
+
+def _tf(spark, sf_dir):
+    e = essays(spark, sf_dir)
+    return e, V.doc_terms(e, T.vocabulary_terms(F.col("text")))
+
+
+@query("top_terms", f"{TF_SQL} SELECT term, CAST(n AS BIGINT) AS n FROM (SELECT * FROM stats ORDER BY n DESC, term LIMIT 20)")
+def q_top_terms(spark, sf_dir):
+    _, tf = _tf(spark, sf_dir)
+    return V.top_terms(tf, 20)
+
+
+@query("doc_term_counts", f"{TF_SQL} SELECT id, term, tf FROM tf")
+def q_doc_term_counts(spark, sf_dir):
+    return _tf(spark, sf_dir)[1]
+
+
+@query("bounded_vocabulary", f"{VOCAB_SQL} SELECT term, df, CAST(n AS BIGINT) AS n FROM vocab")
+def q_bounded_vocabulary(spark, sf_dir):
+    e, tf = _tf(spark, sf_dir)
+    return V.bounded_vocabulary(tf, e.count(), MIN_DF, MAX_DF, MAX_FEATURES)
+
+
+@query("tfidf", f"""{VOCAB_SQL},
+w AS (SELECT tf.id, tf.term, tf.tf * (ln((1 + nd.nd) / (1 + v.df)) + 1) AS w FROM tf JOIN vocab v USING (term), nd)
+SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS tfidf FROM w""")
+def q_tfidf(spark, sf_dir):
+    e, tf = _tf(spark, sf_dir)
+    n = e.count()
+    vocab = V.bounded_vocabulary(tf, n, MIN_DF, MAX_DF, MAX_FEATURES)
+    return rounded(V.tfidf(tf, vocab, n))
+
+
+@query("word_cloud_frequencies", f"""WITH {E},
+w AS (SELECT {S.remove_stopwords(S.normalized_words('text'))} AS ws FROM essays),
+g AS (SELECT unnest(ws) AS term FROM w
+      UNION ALL SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
+top AS (SELECT term, count(*) AS n FROM g GROUP BY term ORDER BY n DESC, term LIMIT 200)
+SELECT term, n, round(n / max(n) OVER (), 6) AS rel FROM top""")
+def q_word_cloud(spark, sf_dir):
+    return rounded(V.word_cloud_frequencies(essays(spark, sf_dir)))
+
+
+CW_SQL = f"""WITH {E},
+cw AS (SELECT id, {S.lemmatize(S.remove_stopwords(S.normalized_words('text')))} AS words FROM essays),
+x AS (SELECT id, unnest(words) AS term, unnest(range(len(words))) AS pos FROM cw),
+c AS (SELECT term, count(*) AS n, min(id * 1000000 + pos) AS f FROM x GROUP BY term),
+ix AS (SELECT term, n, CAST(row_number() OVER (ORDER BY n DESC, f) AS BIGINT) AS idx FROM c)"""
+
+
+def _words(spark, sf_dir):
+    return V.clean_words(essays(spark, sf_dir))
+
+
+@query("token_index", f"{CW_SQL} SELECT term, n, idx FROM ix")
+def q_token_index(spark, sf_dir):
+    return V.token_index(_words(spark, sf_dir))
+
+
+def _ints(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+ENC_SQL = f"""{CW_SQL},
+enc AS (SELECT x.id, list(i.idx ORDER BY x.pos) AS seq FROM x JOIN ix i ON x.term = i.term AND i.idx < 5000 GROUP BY x.id),
+seqs AS (SELECT e.id, coalesce(enc.seq, []) AS seq FROM essays e LEFT JOIN enc USING (id))"""
+
+
+def _sequences(spark, sf_dir):
+    w = _words(spark, sf_dir)
+    return V.encode_sequences(w, V.top_index(w, 5000), 5000)
+
+
+@query("encode_sequences", f"""{ENC_SQL}
+SELECT id, CAST(len(seq) AS BIGINT) AS seq_len, array_to_string(seq, ',') AS seq FROM seqs""")
+def q_encode_sequences(spark, sf_dir):
+    s = _sequences(spark, sf_dir)
+    return s.select("id", F.size("seq").cast("bigint").alias("seq_len"), _ints(F.col("seq")).alias("seq"))
+
+
+@query("pad_sequences", f"""{ENC_SQL},
+k AS (SELECT id, list_slice(seq, greatest(len(seq) - 499, 1), greatest(len(seq) - 499, 1) + 499) AS kept FROM seqs),
+p AS (SELECT id, list_concat(list_transform(range(500 - len(kept)), lambda z: 0), kept) AS padded FROM k)
+SELECT id, CAST(len(padded) AS BIGINT) AS padded_len, array_to_string(padded, ',') AS padded FROM p""")
+def q_pad_sequences(spark, sf_dir):
+    p = V.pad_sequences(_sequences(spark, sf_dir))
+    return p.select("id", F.size("padded").cast("bigint").alias("padded_len"), _ints(F.col("padded")).alias("padded"))
+
+
+@query("encode_with_mask", f"""{CW_SQL},
+ids0 AS (SELECT x.id, list(coalesce(CASE WHEN i.idx < 5000 THEN i.idx + 3 END, 3) ORDER BY x.pos) AS ids
+         FROM x LEFT JOIN ix i ON x.term = i.term GROUP BY x.id),
+ids AS (SELECT e.id, list_concat([1], list_slice(coalesce(ids0.ids, []), 1, 510), [2]) AS ids FROM essays e LEFT JOIN ids0 USING (id)),
+tl AS (SELECT least(512, max(len(ids))) AS tl FROM ids),
+p AS (SELECT id, list_concat(ids, list_transform(range(tl.tl - len(ids)), lambda z: 0)) AS ids FROM ids, tl)
+SELECT id, CAST(len(ids) AS BIGINT) AS n_ids, array_to_string(ids, ',') AS input_ids,
+       CAST(len(list_filter(ids, lambda v: v <> 0)) AS BIGINT) AS mask_sum FROM p""")
+def q_encode_with_mask(spark, sf_dir):
+    w = _words(spark, sf_dir)
+    enc = V.encode_with_mask(w, V.top_index(w, 5000), 5000, 512)
+    return enc.select("id", F.size("input_ids").cast("bigint").alias("n_ids"), _ints(F.col("input_ids")).alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("mask_sum"))
+
+
+@query("normalize_vectors", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, CASE WHEN sqrt(list_dot_product(e, e)) > 0 THEN sqrt(list_dot_product(e, e)) ELSE 1.0 END AS nrm FROM v)
+SELECT vec_id, CAST(i - 1 AS BIGINT) AS dim, round(x / nrm, 6) AS value
+FROM (SELECT vec_id, nrm, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM n)""")
+def q_normalize_vectors(spark, sf_dir):
+    v = V.normalize_vectors(load(spark, sf_dir, "embeddings"))
+    return rounded(V.vectors_long(v, "vec_id", "embedding"))
+
+
+@query("average_word_vectors", """SELECT label, CAST(i - 1 AS BIGINT) AS dim, round(avg(x), 6) AS value
+FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
+GROUP BY label, i""")
+def q_average_word_vectors(spark, sf_dir):
+    return rounded(V.mean_vectors(load(spark, sf_dir, "embeddings"), "label"))
