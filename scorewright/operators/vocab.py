@@ -192,4 +192,4 @@ def average_word_vectors(words: DataFrame, vectors: DataFrame, dim: int, key: st
     means = w.join(v, word_col).groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m"))
     zeros = F.array_repeat(F.lit(0.0), dim)
     return words.select(key).join(means, key, "left").select(
-        key, F.coalesce(vector_to_array("_m"), zeros).alias("vector"))
+        key, F.when(F.col("_m").isNull(), zeros).otherwise(vector_to_array("_m")).alias("vector"))

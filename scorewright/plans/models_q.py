@@ -1 +1,272 @@
-"""(filled in below)"""
+"""Model queries.
+
+Only ``fit_linear_regression`` has an exact SQL oracle (single-feature
+least squares); the others are checked by invariants in ``tests/``.
+Model sizes are reduced against the reference defaults (20 trees, 32-d
+vectors, min count 5) so the checks stay quick; the functions in
+``scorewright.operators.models`` carry the reference values as defaults.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.ml.feature import CountVectorizer, Word2Vec
+from pyspark.ml.clustering import LDA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from scorewright.functions import text as T
+from scorewright.operators import metrics, models as M, splits, textfeat, vocab as V
+from scorewright.plans import sql as S
+from scorewright.plans.catalog import query, rounded
+from scorewright.session import scratch_path
+from scorewright.sources import essays, staging
+
+PRED = textfeat.PREDICTORS
+
+
+def _model_frame(spark, sf_dir):
+    """Essay features with the 70/30 hash split (seed 26), staged once per call."""
+    f = textfeat.essay_features(essays(spark, sf_dir))
+    return splits.train_test(f, "id", 26)
+
+
+@query("fit_linear_regression", f"""WITH {S.ESSAYS},
+s AS (SELECT *, {S.split_hash('id', 26)} % 100 < 70 AS is_train FROM essays)
+SELECT topic, round(regr_slope(score::DOUBLE, word_count::DOUBLE), 6) AS slope,
+       round(regr_intercept(score::DOUBLE, word_count::DOUBLE), 6) AS intercept
+FROM s WHERE is_train GROUP BY topic""")
+def q_fit_linear_regression(spark, sf_dir):
+    e = splits.train_test(essays(spark, sf_dir).select("id", "topic", "word_count", "score"), "id", 26)
+    train = e.filter(F.col("split") == "train").withColumn("label", F.col("score").cast("double"))
+    rows = []
+    for t in M.topics_of(train):
+        part = train.filter(F.col("topic") == F.lit(t))
+        lr = LinearRegression(labelCol="label", regParam=0.0, solver="normal", standardization=False)
+        model = M.Pipeline(stages=[M.assembler(["word_count"]), lr]).fit(part).stages[-1]
+        rows.append((t, float(model.coefficients[0]), float(model.intercept)))
+    return rounded(spark.createDataFrame(rows, "topic string, slope double, intercept double"))
+
+
+def _fit_predict(spark, sf_dir, name, **kw):
+    df = _model_frame(spark, sf_dir).cache()
+    out = []
+    for t in M.topics_of(df):
+        part = df.filter(F.col("topic") == F.lit(t))
+        train = part.filter(F.col("split") == "train").withColumn("label", F.col("target_score"))
+        test = part.filter(F.col("split") == "test")
+        if name == "linear_svc":
+            p = M.fit_predict_classifier(train, test, PRED, "target_score", **kw)
+        else:
+            model = M.build_model(name, PRED, train, "label", **kw).fit(train)
+            p = model.transform(test)
+        out.append(p.select("id", "topic", F.col("prediction").alias("y_pred")))
+    res = out[0]
+    for p in out[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+@query("fit_elastic_net")
+def q_fit_elastic_net(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "elastic_net")
+
+
+@query("fit_random_forest")
+def q_fit_random_forest(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "random_forest", num_trees=20, max_depth=8)
+
+
+@query("fit_linear_svc")
+def q_fit_linear_svc(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "linear_svc", max_iter=20)
+
+
+@query("model_leaderboard")
+def q_leaderboard(spark, sf_dir):
+    df = _model_frame(spark, sf_dir).cache()
+    per = None
+    for name in M.MODEL_NAMES:
+        kw = {"random_forest": {"num_trees": 20, "max_depth": 8}, "linear_svc": {"max_iter": 20}}.get(name, {})
+        r = M.evaluate_by_topic(df, PRED, name, **kw)
+        per = r if per is None else per.unionByName(r)
+    return M.leaderboard(per)
+
+
+@query("tree_feature_importance")
+def q_tree_importance(spark, sf_dir):
+    from pyspark.ml.classification import RandomForestClassifier
+    df = _model_frame(spark, sf_dir).withColumn("label", F.col("target_score"))
+    model = M.Pipeline(stages=[M.assembler(PRED), RandomForestClassifier(numTrees=20, seed=26, maxDepth=8)]).fit(df)
+    imp = model.stages[-1].featureImportances.toArray()
+    rows = sorted(((PRED[i], float(v)) for i, v in enumerate(imp)), key=lambda r: (-r[1], r[0]))[:10]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+def _tfidf_frame(spark, sf_dir):
+    """Predictors + the 2000-term TF-IDF vector (vocabulary fitted on all essays, as the reference)."""
+    e = essays(spark, sf_dir)
+    tf = V.doc_terms(e, T.vocabulary_terms(F.col("text")))
+    n = e.count()
+    vocab = V.bounded_vocabulary(tf, n, 3, 0.2, 2000).collect()
+    terms = [r["term"] for r in vocab]
+    idf = [math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in vocab]
+    docs = e.select("id", T.remove_stopwords(T.vocabulary_terms(F.col("text"))).alias("terms"))
+    vec = M.tfidf_vectorizer(terms, idf).transform(docs).select("id", "tfidf")
+    feats = _model_frame(spark, sf_dir)
+    return feats.join(vec, "id")
+
+
+@query("grid_search_cv")
+def q_grid_search(spark, sf_dir):
+    df = _tfidf_frame(spark, sf_dir)
+    df = M.assembler(["tfidf", *PRED]).transform(df).cache()
+    rows = []
+    for t in M.topics_of(df):
+        part = df.filter(F.col("topic") == F.lit(t))
+        train = splits.kfold(part.filter(F.col("split") == "train"), 5, None, "id") \
+            .withColumn("label", F.col("target_score")).cache()
+        test = part.filter(F.col("split") == "test")
+        model, alpha, ratio, r2 = M.grid_search_cv(train, "features", max_iter=10, parallelism=8)
+        pred = model.transform(test).select(F.col("prediction").cast("int").alias("a"),
+                                            F.col("target_score").cast("int").alias("b"))
+        k = metrics.quadratic_weighted_kappa(pred, "a", "b").first()["kappa"]
+        rows.append((t, alpha, ratio, float(r2), k))
+    return spark.createDataFrame(rows, "topic string, alpha double, l1_ratio double, cv_r2 double, kappa double")
+
+
+# ---- word vectors and essay vectors -----------------------------------------
+
+def _sentences(spark, sf_dir):
+    e = essays(spark, sf_dir)
+    marked = F.regexp_replace(T.strip(F.col("text")), r"([.!?])\s+", "$1\u0001")
+    s = e.select(F.explode(F.split(marked, "\u0001", -1)).alias("sentence"))
+    return s.select(T.normalized_words(F.col("sentence")).alias("words")).filter(F.size("words") > 0)
+
+
+def _word2vec(spark, sf_dir):
+    w2v = Word2Vec(vectorSize=32, windowSize=10, minCount=5, seed=42, inputCol="words", outputCol="v",
+                   numPartitions=4, maxIter=1)
+    return w2v.fit(_sentences(spark, sf_dir))
+
+
+@query("train_word_vectors")
+def q_train_word_vectors(spark, sf_dir):
+    vecs = _word2vec(spark, sf_dir).getVectors()
+    return vecs.select("word", F.size(vector_to_array("vector")).alias("dims"))
+
+
+@query("export_word_vectors")
+def q_export_word_vectors(spark, sf_dir):
+    vecs = _word2vec(spark, sf_dir).getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
+    return staging.stage(vecs, "word-vectors")
+
+
+def _essay_vectors(spark, sf_dir):
+    model = _word2vec(spark, sf_dir)
+    vecs = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    e = splits.train_val_test(essays(spark, sf_dir), "id", 42)
+    e = e.filter(F.col("score").between(1, 10))
+    words = e.select("id", T.remove_stopwords(T.normalized_words(F.col("text"))).alias("words"))
+    av = V.average_word_vectors(words, vecs, 32)
+    return e.select("id", "split", "score").join(av, "id")
+
+
+@query("essay_vectors")
+def q_essay_vectors(spark, sf_dir):
+    return _essay_vectors(spark, sf_dir).select("id", "split", "score", F.size("vector").alias("dims"))
+
+
+def _vector_frame(spark, sf_dir):
+    ev = _essay_vectors(spark, sf_dir)
+    return ev.select("id", "split", F.col("score").cast("double").alias("label"),
+                     array_to_vector("vector").alias("features")).cache()
+
+
+@query("embedding_regression")
+def q_embedding_regression(spark, sf_dir):
+    df = _vector_frame(spark, sf_dir)
+    model = LinearRegression(regParam=0.01, maxIter=100).fit(df.filter(F.col("split") == "train"))
+    p = model.transform(df).withColumn("y_pred", F.greatest(F.col("prediction"), F.lit(0.0)))
+    return metrics.metrics_by_split(p.withColumn("y_true", F.col("label").cast("int")), "y_true", "y_pred")
+
+
+@query("early_stopping")
+def q_early_stopping(spark, sf_dir):
+    df = _vector_frame(spark, sf_dir).filter(F.col("split") != "test") \
+        .withColumn("is_val", F.col("split") == "val")
+    model = M.gbt(max_iter=60, validation_col="is_val", tol=0.01).fit(df)
+    return spark.createDataFrame([(model.getNumTrees, 60)], "trees_kept int, max_trees int")
+
+
+@query("training_history")
+def q_training_history(spark, sf_dir):
+    df = _vector_frame(spark, sf_dir)
+    model = M.gbt(max_iter=20).fit(df.filter(F.col("split") == "train"))
+    return M.training_history(model, {"train": df.filter(F.col("split") == "train"),
+                                      "val": df.filter(F.col("split") == "val")})
+
+
+@query("tune_on_validation")
+def q_tune(spark, sf_dir):
+    df = _vector_frame(spark, sf_dir)
+    space = {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.3], "maxIter": [10, 20]}
+
+    def make(p, seed):
+        return M.gbt(max_iter=p["maxIter"], depth=p["maxDepth"], step=p["stepSize"], seed=seed)
+
+    return M.tune_on_validation(df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val"),
+                                make, space, trials=4, runs=2)
+
+
+@query("batch_predict")
+def q_batch_predict(spark, sf_dir):
+    df = _vector_frame(spark, sf_dir)
+    model = LinearRegression(regParam=0.01).fit(df.filter(F.col("split") == "train"))
+    return model.transform(df.filter(F.col("split") == "test")).select("id", F.col("prediction").alias("y_pred"))
+
+
+@query("save_and_load_model")
+def q_save_load(spark, sf_dir):
+    from pyspark.ml.regression import LinearRegressionModel
+    df = _vector_frame(spark, sf_dir)
+    model = LinearRegression(regParam=0.01).fit(df.filter(F.col("split") == "train"))
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    loaded = LinearRegressionModel.load(path)
+    test = df.filter(F.col("split") == "test")
+    a = model.transform(test).select("id", F.col("prediction").alias("before"))
+    b = loaded.transform(test).select("id", F.col("prediction").alias("after"))
+    return a.join(b, "id").withColumn("equal", F.col("before") == F.col("after"))
+
+
+# ---- topic models ------------------------------------------------------------
+
+def _lda(spark, sf_dir):
+    e = essays(spark, sf_dir)
+    docs = e.select("id", T.remove_stopwords(T.vocabulary_terms(F.col("text"))).alias("terms"))
+    cv = CountVectorizer(inputCol="terms", outputCol="counts", minDF=2.0, maxDF=0.95).fit(docs)
+    counts = cv.transform(docs).cache()
+    lda = LDA(k=5, maxIter=10, optimizer="online", seed=0, featuresCol="counts").fit(counts)
+    return cv, lda, counts
+
+
+@query("lda_topics")
+def q_lda_topics(spark, sf_dir):
+    cv, lda, _ = _lda(spark, sf_dir)
+    vocab = cv.vocabulary
+    topics = lda.describeTopics(10)
+    x = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
+    terms = spark.createDataFrame(list(enumerate(vocab)), "term_index int, term string")
+    return x.select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("term_index"),
+                    F.col("t.termWeights").alias("weight")).join(F.broadcast(terms), "term_index") \
+        .select("topic", "rank", "term", "weight")
+
+
+@query("lda_doc_topics")
+def q_lda_doc_topics(spark, sf_dir):
+    _, lda, counts = _lda(spark, sf_dir)
+    mix = lda.transform(counts).select("id", vector_to_array("topicDistribution").alias("mix"))
+    return mix.select("id", F.posexplode("mix").alias("topic", "weight"))
