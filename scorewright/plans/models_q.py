@@ -28,9 +28,15 @@ PRED = textfeat.PREDICTORS
 
 
 def _model_frame(spark, sf_dir):
-    """Essay features with the 70/30 hash split (seed 26), staged once per call."""
+    """Essay features with the 70/30 hash split (seed 26), staged once per call.
+
+    Staging writes the feature table to the shared checkpoint folder: the
+    many small jobs of iterative fits then read Parquet instead of shipping
+    and re-running the text-feature plan, and a lost executor recomputes
+    from the staged files.
+    """
     f = textfeat.essay_features(essays(spark, sf_dir))
-    return splits.train_test(f, "id", 26)
+    return staging.stage(splits.train_test(f, "id", 26), "model-frame")
 
 
 @query("fit_linear_regression", f"""WITH {S.ESSAYS},
@@ -51,7 +57,7 @@ def q_fit_linear_regression(spark, sf_dir):
 
 
 def _fit_predict(spark, sf_dir, name, **kw):
-    df = _model_frame(spark, sf_dir).cache()
+    df = _model_frame(spark, sf_dir)
     out = []
     for t in M.topics_of(df):
         part = df.filter(F.col("topic") == F.lit(t))
@@ -86,7 +92,7 @@ def q_fit_linear_svc(spark, sf_dir):
 
 @query("model_leaderboard")
 def q_leaderboard(spark, sf_dir):
-    df = _model_frame(spark, sf_dir).cache()
+    df = _model_frame(spark, sf_dir)
     per = None
     for name in M.MODEL_NAMES:
         kw = {"random_forest": {"num_trees": 20, "max_depth": 8}, "linear_svc": {"max_iter": 20}}.get(name, {})
@@ -122,7 +128,7 @@ def _tfidf_frame(spark, sf_dir):
 @query("grid_search_cv")
 def q_grid_search(spark, sf_dir):
     df = _tfidf_frame(spark, sf_dir)
-    df = M.assembler(["tfidf", *PRED]).transform(df).cache()
+    df = staging.stage(M.assembler(["tfidf", *PRED]).transform(df), "tfidf-frame")
     rows = []
     for t in M.topics_of(df):
         part = df.filter(F.col("topic") == F.lit(t))
@@ -181,8 +187,8 @@ def q_essay_vectors(spark, sf_dir):
 
 def _vector_frame(spark, sf_dir):
     ev = _essay_vectors(spark, sf_dir)
-    return ev.select("id", "split", F.col("score").cast("double").alias("label"),
-                     array_to_vector("vector").alias("features")).cache()
+    return staging.stage(ev.select("id", "split", F.col("score").cast("double").alias("label"),
+                                   array_to_vector("vector").alias("features")), "vector-frame")
 
 
 @query("embedding_regression")

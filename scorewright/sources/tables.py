@@ -31,6 +31,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy per-row work at least one task per core.
+
+    A large table is read in many splits and is returned unchanged.  A
+    small file (one row group is one task) is hash-partitioned on ``key``
+    into ``defaultParallelism`` tasks; as a side effect later aggregates and
+    windows keyed by ``key`` find their input already clustered.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
 def essay_score(text: Column) -> Column:
     """Synthetic human score: bit length of the word count (integer-exact)."""
     return F.length(F.bin(word_count(text))).cast("int")
@@ -60,4 +74,4 @@ def bind_essays(documents: DataFrame, seed: int = 26) -> DataFrame:
 
 
 def essays(spark: SparkSession, sf_dir: str, seed: int = 26) -> DataFrame:
-    return bind_essays(load(spark, sf_dir, "documents"), seed)
+    return bind_essays(spread(load(spark, sf_dir, "documents"), "doc_id"), seed)
