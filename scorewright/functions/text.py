@@ -84,11 +84,13 @@ def remove_stopwords(words: Column, stop_words=None) -> Column:
 
 
 def lemma(word: Column) -> Column:
-    """Noun lemma of a lower-case word: irregular list, then ordered suffix rules."""
-    expr = None
-    for src, dst in fixed.IRREGULAR_LEMMAS:
-        cond = word == src
-        expr = F.when(cond, F.lit(dst)) if expr is None else expr.when(cond, F.lit(dst))
+    """Noun lemma of a lower-case word: irregular list, then ordered suffix rules.
+
+    Every suffix rule needs a final "s", so other words skip the regexes.
+    """
+    irregular = [src for src, _ in fixed.IRREGULAR_LEMMAS]
+    table = F.create_map(*[F.lit(x) for kv in fixed.IRREGULAR_LEMMAS for x in kv])
+    expr = F.when(word.isin(irregular), F.element_at(table, word)).when(~word.endswith("s"), word)
     for pattern, repl in fixed.LEMMA_RULES:
         expr = expr.when(word.rlike(pattern), F.regexp_replace(word, pattern, repl))
     return expr.otherwise(word)

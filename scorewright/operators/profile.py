@@ -102,6 +102,32 @@ def histogram_bins(df: DataFrame, col: str, bins: int = 30, name: str | None = N
         F.coalesce(F.col("n"), F.lit(0)).alias("n"))
 
 
+def histogram_bins_multi(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
+    """``histogram_bins`` for several columns in two passes: one min/max aggregate, one binned count."""
+    xs = {c: F.col(c).cast("double") for c in cols}
+    row = df.agg(*[F.min(x).alias(f"lo_{c}") for c, x in xs.items()],
+                 *[F.max(x).alias(f"hi_{c}") for c, x in xs.items()]).first()
+    ranges = {}
+    for c in cols:
+        lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
+        if lo is None:
+            lo, hi = 0.0, 1.0
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        ranges[c] = (lo, hi, (hi - lo) / bins)
+    structs = [F.struct(F.lit(c).alias("feature"),
+                        F.least(F.lit(1) + F.floor((xs[c] - F.lit(lo)) / F.lit(w)), F.lit(bins)).cast("bigint").alias("bin"))
+               for c, (lo, hi, w) in ranges.items()]
+    counts = df.select(F.inline(F.array(*structs))).filter(F.col("bin").isNotNull()) \
+        .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    spark = df.sparkSession
+    grid = spark.createDataFrame([(c, b, lo + (b - 1) * w, lo + b * w) for c, (lo, hi, w) in ranges.items()
+                                  for b in range(1, bins + 1)],
+                                 "feature string, bin bigint, bin_lo double, bin_hi double")
+    return grid.join(counts, ["feature", "bin"], "left").select(
+        "feature", "bin", "bin_lo", "bin_hi", F.coalesce(F.col("n"), F.lit(0)).alias("n"))
+
+
 def score_relation(df: DataFrame, features: list[str], score: str = "score") -> DataFrame:
     """(feature, n, corr, slope, intercept) of score on each feature, pairwise-complete."""
     y = F.col(score).cast("double")

@@ -77,9 +77,15 @@ def _mllib_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
+    from pyspark import StorageLevel
     vec = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="error") \
-        .transform(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
-    m = Correlation.corr(vec, "_features", "pearson").first()[0].toArray()
+        .transform(df.select(*[F.col(c).cast("double").alias(c) for c in columns])).select("_features")
+    # Correlation makes several passes; keep the narrow vector column instead of recomputing the input
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        m = Correlation.corr(vec, "_features", "pearson").first()[0].toArray()
+    finally:
+        vec.unpersist()
     k = len(columns)
     # MLlib puts 1.0 on the diagonal even for a constant column (whose
     # off-diagonal entries are all NaN); Pearson is undefined there.
@@ -130,6 +136,27 @@ def select_k_best(fscores: DataFrame, kept: DataFrame, k: int = 10, group: str =
         .select(group, "feature", "f", "rank")
 
 
+def select_k_best_by_group(df: DataFrame, features: list[str], target: str, group: str = "topic",
+                           k: int = 10) -> DataFrame:
+    """``select_k_best`` over ``zero_variance`` and ``f_regression`` from one grouped aggregate
+    (population std and correlation of every feature in a single pass)."""
+    y = F.col(target).cast("double")
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for f in features:
+        x = F.col(f).cast("double")
+        aggs += [F.stddev_pop(x).alias(f"s_{f}"), safe_corr(x, y).alias(f"r_{f}")]
+    wide = df.groupBy(group).agg(*aggs)
+    rows = F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"s_{f}").alias("std"),
+                                       F.col(f"r_{f}").alias("r")) for f in features]))
+    long = wide.select(group, "_n", rows)
+    r2 = F.col("r") * F.col("r")
+    fval = F.try_divide(r2, F.when(F.lit(1.0) - r2 != 0, F.lit(1.0) - r2)) * (F.col("_n") - 2)
+    cand = long.filter(F.coalesce(F.col("std") != 0, F.lit(False))).withColumn("f", fval)
+    w = Window.partitionBy(group).orderBy(F.col("f").desc_nulls_last(), "feature")
+    return cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k) \
+        .select(group, "feature", "f", "rank")
+
+
 def standard_scale(df: DataFrame, features: list[str], group: str | None = "topic", key: str = "id") -> DataFrame:
     """(x - mean) / population std per group; a constant column scales to 0 (like sklearn).
 

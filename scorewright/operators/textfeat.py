@@ -15,7 +15,7 @@ kind of column, not the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import fixed, text as T
@@ -87,24 +87,36 @@ def term_frequencies(df: DataFrame, terms, key: str = "id", keep: list[str] | No
         .groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def reference_similarity(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
-    """(id, topic, similarity): cosine of term-frequency vectors against the topic's reference essay.
+def similarity_scores(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
+    """(id, similarity) for essays with at least one term; see ``reference_similarity``.
 
-    The reference side is one document per topic, so the (topic, term) join
-    has a small build side and runs as a broadcast hash join from AQE
-    statistics; essays with no term get similarity 0.
+    The reference side (one document per topic) carries its own norm, so one
+    broadcast table serves both the dot product and the normalisation: an
+    essay sharing no term with its reference has dot 0 and similarity 0
+    whatever the reference norm is.
     """
     tf = term_frequencies(essays, T.word_runs(F.col(text)), keep=[topic])
     refs = reference_essays(essays)
     ref_tf = tf.join(refs.withColumnRenamed("ref_id", "id"), ["id", topic], "left_semi") \
         .select(topic, "term", F.col("tf").alias("rtf"))
-    ref_norm = ref_tf.groupBy(topic).agg(F.sqrt(F.sum(F.col("rtf") * F.col("rtf"))).alias("rnorm"))
-    dots = tf.join(ref_tf, [topic, "term"], "left").groupBy("id", topic).agg(
+    ref_tf = ref_tf.withColumn(
+        "rnorm", F.sqrt(F.sum(F.col("rtf") * F.col("rtf")).over(Window.partitionBy(topic))))
+    dots = tf.join(ref_tf, [topic, "term"], "left").groupBy("id").agg(
         F.sum(F.col("tf") * F.coalesce(F.col("rtf"), F.lit(0))).alias("dot"),
-        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    sim = dots.join(ref_norm, topic).select(
-        "id", F.coalesce(F.try_divide(F.col("dot").cast("double"), F.col("norm") * F.col("rnorm")),
-                         F.lit(0.0)).alias("similarity"))
+        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"),
+        F.max("rnorm").alias("rnorm"))
+    sim = F.when(F.col("dot") == 0, F.lit(0.0)).otherwise(
+        F.try_divide(F.col("dot").cast("double"), F.col("norm") * F.col("rnorm")))
+    return dots.select("id", F.coalesce(sim, F.lit(0.0)).alias("similarity"))
+
+
+def reference_similarity(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
+    """(id, topic, similarity): cosine of term-frequency vectors against the topic's reference essay.
+
+    The reference side is one document per topic (a small build side that
+    AQE broadcasts from its runtime size); essays with no term get 0.
+    """
+    sim = similarity_scores(essays, text, topic)
     return essays.select("id", topic).join(sim, "id", "left").fillna(0.0, ["similarity"])
 
 
@@ -112,8 +124,8 @@ def essay_features(essays: DataFrame, text: str = "text", target: str = "score",
                    topic: str = "topic") -> DataFrame:
     """(id, topic, target_score, 30 predictors) in one projection + one similarity join."""
     feats = count_features(annotate(essays.select("id", topic, target, text), text))
-    sim = reference_similarity(essays.select("id", topic, target, text), text, topic)
-    out = feats.join(sim.select("id", "similarity"), "id", "left")
+    sim = similarity_scores(essays.select("id", topic, target, text), text, topic)
+    out = feats.join(sim, "id", "left").fillna(0.0, ["similarity"])
     return out.select("id", topic, F.col(target).cast("double").alias("target_score"), *PREDICTORS)
 
 

@@ -86,7 +86,7 @@ FROM range(1, 31) g(bin) CROSS JOIN r LEFT JOIN c ON g.bin = c.bin)"""
 @query("histogram_bins", f"WITH {E} {_hist_sql('word_count', 'word_count')} UNION ALL {_hist_sql('polarity', S.sentiment_polarity('text'))}")
 def q_histogram(spark, sf_dir):
     e = essays(spark, sf_dir).select("word_count", T.sentiment_polarity(F.col("text")).alias("polarity"))
-    return rounded(P.histogram_bins(e, "word_count").unionByName(P.histogram_bins(e, "polarity")))
+    return rounded(P.histogram_bins_multi(e, ["word_count", "polarity"]))
 
 
 REL_FEATURES = {

@@ -91,8 +91,7 @@ SELECT topic, feature, round(f, 6) AS f, rank FROM (
   SELECT fr.topic, fr.feature, fr.f, CAST(row_number() OVER (PARTITION BY fr.topic ORDER BY fr.f DESC NULLS LAST, fr.feature) AS BIGINT) AS rank
   FROM fr JOIN zv ON fr.topic = zv.topic AND fr.feature = zv.feature WHERE zv.kept) WHERE rank <= 10""")
 def q_select_k_best(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    return rounded(SEL.select_k_best(SEL.f_regression(f, PRED, "target_score"), SEL.zero_variance(f, PRED), 10))
+    return rounded(SEL.select_k_best_by_group(_features(spark, sf_dir), PRED, "target_score", "topic", 10))
 
 
 @query("train_test_split", f"WITH {E} SELECT id, topic, CASE WHEN {S.split_hash('id', 26)} % 100 < 70 THEN 'train' ELSE 'test' END AS split FROM essays")
