@@ -47,29 +47,73 @@ def duplicate_count_frame(df: DataFrame, cols: list[str] | None = None, name: st
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias(name))
 
 
+def exact_quantiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75)) -> dict[str, list]:
+    """Exact linearly interpolated quantiles of several columns, computed across all tasks.
+
+    No buffer holds a whole column: values of all columns are unpivoted,
+    range-sorted once by (column, value) and numbered per column with
+    per-task offsets (``row_number_by``); only the two order statistics
+    around each quantile position (at most 2 x len(qs) values per column)
+    come back to the driver.
+    """
+    from scorewright.operators.relational import row_number_by
+    vals = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                                 F.col(f"`{c}`").cast("double").alias("value")) for c in cols])))
+    vals = vals.filter(F.col("value").isNotNull())
+    counts = {r["column_name"]: r["n"] for r in vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = []
+    for c in cols:
+        n = counts.get(c, 0)
+        for q in qs:
+            if n:
+                pos = (n - 1) * q
+                wanted += [(c, int(pos) + 1), (c, min(int(pos) + 2, n))]
+    if not wanted:
+        return {c: [None] * len(qs) for c in cols}
+    ranked = row_number_by(vals, ["column_name"], ["value"], "rn")
+    picks = df.sparkSession.createDataFrame(sorted(set(wanted)), "column_name string, rn bigint")
+    got = {(r["column_name"], r["rn"]): r["value"]
+           for r in ranked.join(F.broadcast(picks), ["column_name", "rn"]).collect()}
+    out = {}
+    for c in cols:
+        n = counts.get(c, 0)
+        res = []
+        for q in qs:
+            if not n:
+                res.append(None)
+                continue
+            pos = (n - 1) * q
+            lo, hi = got[(c, int(pos) + 1)], got[(c, min(int(pos) + 2, n))]
+            res.append(lo + (pos - int(pos)) * (hi - lo))
+        out[c] = res
+    return out
+
+
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True,
                      accuracy: int = 10000) -> DataFrame:
     """(column_name, count, mean, std, min, p25, p50, p75, max); nulls skipped; std with n-1.
 
-    ``exact`` uses ``percentile`` (linear interpolation, all values of a
-    column in one buffer); for very large tables set ``exact=False`` to use
-    ``percentile_approx`` with bounded memory.
+    ``exact`` quantiles use ``exact_quantiles`` (a distributed sort, no
+    per-column buffer); ``exact=False`` uses ``percentile_approx`` in the
+    same single aggregate pass.
     """
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
     aggs, structs = [], []
+    quant = exact_quantiles(df, cols) if exact else None
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         if exact:
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+            q = [F.lit(v).cast("double") for v in quant[c]]
         else:
-            q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).cast("array<double>")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), q.alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias(f"q{i}"))
+            q = [F.col(f"q{i}")[k] for k in range(3)]
         structs.append(F.struct(
             F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
-            F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"), F.col(f"hi{i}").alias("max")))
-    return df.agg(*aggs).select(_rows(structs))
+            F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), q[0].alias("p25"),
+            q[1].alias("p50"), q[2].alias("p75"), F.col(f"hi{i}").alias("max")))
+    return df.agg(*aggs).select(F.inline(F.array(*structs)))
 
 
 def distinct_audit(df: DataFrame, key: str, approx: bool = False) -> DataFrame:

@@ -67,3 +67,13 @@ def test_tsv_edge_cases(spark):
     assert rows[1].essay == "tab\there"
     assert rows[2].essay == "line one\nline two" and rows[2].domain1_score is None
     assert rows[3].essay == 'say "hi" café'
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from scorewright.operators import profile as P
+    rows = [(float(i % 17), float(i * i % 101)) for i in range(503)] + [(None, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(4)
+    got = P.exact_quantiles(df, ["a", "b"])
+    exp = df.agg(F.percentile("a", [0.25, 0.5, 0.75]).alias("a"), F.percentile("b", [0.25, 0.5, 0.75]).alias("b")).first()
+    for c in ["a", "b"]:
+        assert all(abs(x - y) < 1e-12 for x, y in zip(got[c], exp[c]))
