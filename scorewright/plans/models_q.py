@@ -48,8 +48,9 @@ def q_fit_linear_regression(spark, sf_dir):
     e = splits.train_test(essays(spark, sf_dir).select("id", "topic", "word_count", "score"), "id", 26)
     train = e.filter(F.col("split") == "train").withColumn("label", F.col("score").cast("double"))
     rows = []
-    for t in M.topics_of(train):
-        part = train.filter(F.col("topic") == F.lit(t))
+    sizes = M.topic_sizes(train)
+    for t in sorted(sizes):
+        part = M.right_size(train.filter(F.col("topic") == F.lit(t)), sizes[t])
         lr = LinearRegression(labelCol="label", regParam=0.0, solver="normal", standardization=False)
         model = M.Pipeline(stages=[M.assembler(["word_count"]), lr]).fit(part).stages[-1]
         rows.append((t, float(model.coefficients[0]), float(model.intercept)))
@@ -59,8 +60,9 @@ def q_fit_linear_regression(spark, sf_dir):
 def _fit_predict(spark, sf_dir, name, **kw):
     df = _model_frame(spark, sf_dir)
     out = []
-    for t in M.topics_of(df):
-        part = df.filter(F.col("topic") == F.lit(t))
+    sizes = M.topic_sizes(df)
+    for t in sorted(sizes):
+        part = M.right_size(df.filter(F.col("topic") == F.lit(t)), sizes[t])
         train = part.filter(F.col("split") == "train").withColumn("label", F.col("target_score"))
         test = part.filter(F.col("split") == "test")
         if name == "linear_svc":
@@ -130,10 +132,12 @@ def q_grid_search(spark, sf_dir):
     df = _tfidf_frame(spark, sf_dir)
     df = staging.stage(M.assembler(["tfidf", *PRED]).transform(df), "tfidf-frame")
     rows = []
-    for t in M.topics_of(df):
+    sizes = M.topic_sizes(df)
+    for t in sorted(sizes):
         part = df.filter(F.col("topic") == F.lit(t))
         train = splits.kfold(part.filter(F.col("split") == "train"), 5, None, "id") \
-            .withColumn("label", F.col("target_score")).cache()
+            .withColumn("label", F.col("target_score"))
+        train = M.right_size(train, sizes[t]).cache()
         test = part.filter(F.col("split") == "test")
         model, alpha, ratio, r2 = M.grid_search_cv(train, "features", max_iter=10, parallelism=8)
         pred = model.transform(test).select(F.col("prediction").cast("int").alias("a"),
