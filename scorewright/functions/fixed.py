@@ -82,16 +82,17 @@ POS_WORDS = [
              "almost", "quite", "rather"]),
 ]
 
-# Ordered fallback rules for open-class tokens: (tag, regex on the token).
-# The first matching rule wins; tokens matching none are tagged X.
-POS_RULES = [
-    ("NUM", r"^[0-9]+([.,][0-9]+)*$"),
-    ("PUNCT", r"^[^\p{L}\p{N}_]$"),
-    ("PROPN", r"^\p{Lu}"),
-    ("ADV", r"\p{Ll}ly$"),
-    ("VERB", r"\p{Ll}(ing|ed|ize|ise|ate)$"),
-    ("ADJ", r"\p{Ll}(ous|ful|able|ible|ive|ic|less|ish|al)$"),
-    ("NOUN", r"^\p{L}"),
+# Open-class fallback, applied in this order after the closed-class words:
+#   NUM    a token starting with a digit that matches NUMBER_PATTERN
+#   PUNCT  a single character that is not a word character
+#   PROPN  a token whose first character is an upper-case letter
+#   then, for tokens starting with a lower-case letter, the first matching
+#   suffix list below, else NOUN; anything else is X.
+NUMBER_PATTERN = r"^[0-9]+([.,][0-9]+)*$"
+POS_SUFFIXES = [
+    ("ADV", ["ly"]),
+    ("VERB", ["ing", "ed", "ize", "ise", "ate"]),
+    ("ADJ", ["ous", "ful", "able", "ible", "ive", "ic", "less", "ish", "al"]),
 ]
 
 # Sentiment lexicon: word -> polarity in [-1, 1].

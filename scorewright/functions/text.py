@@ -106,15 +106,31 @@ def clean_corpus(text: Column, stop_words=None) -> Column:
 
 
 def pos_tag(token: Column) -> Column:
-    """Rule/lexicon part-of-speech tag of one token (re-aimed tagger)."""
+    """Rule/lexicon part-of-speech tag of one token (re-aimed tagger).
+
+    Lambdas of higher-order functions are evaluated without codegen, so the
+    cheap tests come first: one hash-set probe for all closed-class words,
+    first-character tests and ``endswith``; regexes only behind guards.
+    """
     low = F.lower(token)
-    expr = None
-    rules = [(fixed.POS_RULES[0][0], token.rlike(fixed.POS_RULES[0][1]))]
-    rules += [(tag, low.isin(words)) for tag, words in fixed.POS_WORDS]
-    rules += [(tag, token.rlike(p)) for tag, p in fixed.POS_RULES[1:]]
-    for tag, cond in rules:
-        expr = F.when(cond, F.lit(tag)) if expr is None else expr.when(cond, F.lit(tag))
-    return expr.otherwise(F.lit("X"))
+    first = F.substring(token, 1, 1)
+    closed = [w for _, words in fixed.POS_WORDS for w in words]
+    which = None
+    for tag, words in fixed.POS_WORDS:
+        cond = low.isin(words)
+        which = F.when(cond, F.lit(tag)) if which is None else which.when(cond, F.lit(tag))
+    expr = F.when(first.between("0", "9") & token.rlike(fixed.NUMBER_PATTERN), F.lit("NUM")) \
+        .when(low.isin(closed), which) \
+        .when((F.length(token) == 1) & ~token.rlike(rf"[{WORD_CHARS}]"), F.lit("PUNCT")) \
+        .when(first != F.lower(first), F.lit("PROPN"))
+    lower_initial = first != F.upper(first)
+    for tag, suffixes in fixed.POS_SUFFIXES:
+        cond = None
+        for suf in suffixes:
+            c = token.endswith(suf)
+            cond = c if cond is None else cond | c
+        expr = expr.when(lower_initial & cond, F.lit(tag))
+    return expr.when(lower_initial, F.lit("NOUN")).otherwise(F.lit("X"))
 
 
 def pos_tags(tokens: Column) -> Column:
@@ -122,7 +138,8 @@ def pos_tags(tokens: Column) -> Column:
 
 
 def tag_count(tags: Column, tag: str) -> Column:
-    return F.size(F.filter(tags, lambda t: t == tag)).cast("bigint")
+    """Occurrences of ``tag`` (``array_remove`` is codegen'd; a ``filter`` lambda is not)."""
+    return (F.size(tags) - F.size(F.array_remove(tags, tag))).cast("bigint")
 
 
 def entities(text: Column) -> Column:

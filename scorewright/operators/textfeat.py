@@ -41,7 +41,7 @@ def annotate(df: DataFrame, text: str = "text") -> DataFrame:
     })
     return out.withColumns({
         "pos": T.pos_tags(F.col("tokens")),
-        "lemma": F.transform(F.col("tokens"), lambda x: T.lemma(F.lower(x))),
+        "lemma": F.transform(F.transform(F.col("tokens"), F.lower), T.lemma),
     })
 
 

@@ -91,10 +91,20 @@ def clean_corpus(t: str) -> str:
 
 
 def pos_tag(t: str) -> str:
-    rules = [f"WHEN regexp_matches({t}, {q(fixed.POS_RULES[0][1])}) THEN {q(fixed.POS_RULES[0][0])}"]
-    rules += [f"WHEN lower({t}) IN {in_list(words)} THEN {q(tag)}" for tag, words in fixed.POS_WORDS]
-    rules += [f"WHEN regexp_matches({t}, {q(p)}) THEN {q(tag)}" for tag, p in fixed.POS_RULES[1:]]
-    return "CASE " + " ".join(rules) + " ELSE 'X' END"
+    from scorewright.functions.text import WORD_CHARS
+    closed = [w for _, words in fixed.POS_WORDS for w in words]
+    which = "CASE " + " ".join(f"WHEN lower({t}) IN {in_list(words)} THEN {q(tag)}" for tag, words in fixed.POS_WORDS) + " END"
+    first = f"left({t}, 1)"
+    parts = [f"WHEN {first} BETWEEN '0' AND '9' AND regexp_matches({t}, {q(fixed.NUMBER_PATTERN)}) THEN 'NUM'",
+             f"WHEN lower({t}) IN {in_list(closed)} THEN {which}",
+             f"WHEN length({t}) = 1 AND NOT regexp_matches({t}, {q('[' + WORD_CHARS + ']')}) THEN 'PUNCT'",
+             f"WHEN {first} <> lower({first}) THEN 'PROPN'"]
+    lower_initial = f"{first} <> upper({first})"
+    for tag, sufs in fixed.POS_SUFFIXES:
+        cond = " OR ".join(f"ends_with({t}, {q(x)})" for x in sufs)
+        parts.append(f"WHEN {lower_initial} AND ({cond}) THEN {q(tag)}")
+    parts.append(f"WHEN {lower_initial} THEN 'NOUN'")
+    return "CASE " + " ".join(parts) + " ELSE 'X' END"
 
 
 def pos_tags(tokens: str) -> str:
