@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -99,6 +100,9 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool =
     """
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
     aggs, structs = [], []
+    if exact:
+        # several passes (counts, range sort, moments) over a narrow numeric projection
+        df = df.select(*[F.col(f"`{c}`") for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
     quant = exact_quantiles(df, cols) if exact else None
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
@@ -113,7 +117,13 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool =
             F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
             F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), q[0].alias("p25"),
             q[1].alias("p50"), q[2].alias("p75"), F.col(f"hi{i}").alias("max")))
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+    out = df.agg(*aggs).select(F.inline(F.array(*structs)))
+    if not exact:
+        return out
+    # k rows, one per column: materialise them and release the cached projection
+    rows = out.collect()
+    df.unpersist()
+    return df.sparkSession.createDataFrame(rows, out.schema)
 
 
 def distinct_audit(df: DataFrame, key: str, approx: bool = False) -> DataFrame:

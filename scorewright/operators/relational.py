@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,7 +120,10 @@ def row_number_by(df: DataFrame, partition: list[str], order: list[str], name: s
     after an executor loss.
     """
     keys = partition + order
-    tagged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(
+    # range partitioning samples its input and then shuffles it: keep the
+    # input for the two passes, release it once the checkpoint is written
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if checkpoint else df
+    tagged = src.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(
         "_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumns({
         "_task": F.shiftright(F.col("_mid"), 33),
@@ -127,6 +131,7 @@ def row_number_by(df: DataFrame, partition: list[str], order: list[str], name: s
     })
     if checkpoint:
         tagged = tagged.checkpoint(eager=True)
+        src.unpersist()
     counts = tagged.groupBy("_task", *partition).agg(F.count(F.lit(1)).alias("_n"),
                                                      F.min("_pos").alias("_first"))
     w = Window.partitionBy(*partition).orderBy("_task") if partition else Window.orderBy("_task")
