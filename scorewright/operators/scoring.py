@@ -41,12 +41,21 @@ def predict_ols(df: DataFrame, coef: DataFrame, feature: str, topic: str = "topi
     return df.join(coef.select(topic, "slope", "intercept"), topic).withColumn("y_pred", pred)
 
 
-def evaluate_ols_by_topic(essays: DataFrame, feature: str = "word_count", train_pct: int = 70) -> DataFrame:
+def evaluate_ols_by_topic(essays: DataFrame, feature: str = "word_count", train_pct: int = 70,
+                          stage: bool = True) -> DataFrame:
     """Fit per topic on the training part, predict the rest, QWK with truncated predictions.
 
     Output: topic, weight (all rows of the topic), n_test, slope, intercept, kappa.
+
+    The fit and the scoring both need the feature of every essay; with
+    ``stage`` the narrow (id, topic, feature, score, hash) projection is
+    written once to the checkpoint folder, so the text is read and the
+    feature computed in a single pass.
     """
-    e = with_split(essays, train_pct)
+    e = with_split(essays, train_pct).select("id", "topic", feature, "score", "split")
+    if stage:
+        from scorewright.sources.staging import stage as stage_table
+        e = stage_table(e, "ols-input")
     coef = ols_by_topic(e, feature)
     test = predict_ols(e.filter(F.col("split") == "test"), coef, feature)
     test = test.withColumn("y_pred_int", F.col("y_pred").cast("int"))

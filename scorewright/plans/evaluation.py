@@ -139,7 +139,9 @@ pred AS (SELECT s.id, s.split, s.score AS y_true, c.intercept + c.slope * s.word
 
 def predictions_3way(spark, sf_dir):
     from scorewright.operators import splits
-    e = splits.train_val_test(essays(spark, sf_dir), "id", seed=42)
+    from scorewright.sources.staging import stage
+    e = splits.train_val_test(essays(spark, sf_dir), "id", seed=42).select("id", "topic", "word_count", "score", "split")
+    e = stage(e, "ols-3way-input")  # fit and scoring read one narrow pass over the text
     coef = scoring.ols_by_topic(e, "word_count")
     return scoring.predict_ols(e, coef, "word_count").select(
         "id", "split", F.col("score").alias("y_true"), "y_pred")
