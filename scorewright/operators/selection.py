@@ -119,9 +119,16 @@ def f_regression(df: DataFrame, features: list[str], target: str, group: str = "
         aggs.append(safe_corr(F.col(f).cast("double"), y).alias(f))
     wide = df.groupBy(group).agg(*aggs)
     long = wide.unpivot([group, "_n"], features, "feature", "r")
-    r2 = F.col("r") * F.col("r")
-    fval = F.try_divide(r2, F.when(F.lit(1.0) - r2 != 0, F.lit(1.0) - r2)) * (F.col("_n") - 2)
-    return long.select(group, "feature", F.col("_n").alias("n"), "r", fval.alias("f"))
+    return long.select(group, "feature", F.col("_n").alias("n"), "r", f_score(F.col("r"), F.col("_n")).alias("f"))
+
+
+def f_score(r: Column, n: Column) -> Column:
+    """F = r^2 / (1 - r^2) * (n - 2), with r clamped to [-1, 1] and F = +inf for a perfect fit."""
+    rc = F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+    r2 = rc * rc
+    return F.when(r.isNull(), F.lit(None).cast("double")) \
+        .when(r2 >= 1.0, F.lit(float("inf"))) \
+        .otherwise(r2 / (F.lit(1.0) - r2) * (n - 2))
 
 
 def select_k_best(fscores: DataFrame, kept: DataFrame, k: int = 10, group: str = "topic") -> DataFrame:
@@ -149,9 +156,7 @@ def select_k_best_by_group(df: DataFrame, features: list[str], target: str, grou
     rows = F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"s_{f}").alias("std"),
                                        F.col(f"r_{f}").alias("r")) for f in features]))
     long = wide.select(group, "_n", rows)
-    r2 = F.col("r") * F.col("r")
-    fval = F.try_divide(r2, F.when(F.lit(1.0) - r2 != 0, F.lit(1.0) - r2)) * (F.col("_n") - 2)
-    cand = long.filter(F.coalesce(F.col("std") != 0, F.lit(False))).withColumn("f", fval)
+    cand = long.filter(F.coalesce(F.col("std") != 0, F.lit(False))).withColumn("f", f_score(F.col("r"), F.col("_n")))
     w = Window.partitionBy(group).orderBy(F.col("f").desc_nulls_last(), "feature")
     return cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k) \
         .select(group, "feature", "f", "rank")

@@ -77,7 +77,9 @@ def q_zero_variance(spark, sf_dir):
 
 FR_SQL = f"""{ZV_SQL},
 fr0 AS (SELECT topic, count(*) AS n, {', '.join(f'{_corr_sql(p, "target_score")} AS {p}' for p in PRED)} FROM features GROUP BY topic),
-fr AS (SELECT topic, feature, n, r, r * r / nullif(1 - r * r, 0) * (n - 2) AS f
+fr AS (SELECT topic, feature, n, r,
+              CASE WHEN r IS NULL THEN NULL WHEN least(greatest(r, -1.0), 1.0) ^ 2 >= 1 THEN 'inf'::DOUBLE
+                   ELSE least(greatest(r, -1.0), 1.0) ^ 2 / (1 - least(greatest(r, -1.0), 1.0) ^ 2) * (n - 2) END AS f
        FROM fr0 UNPIVOT INCLUDE NULLS (r FOR feature IN ({', '.join(PRED)})))"""
 
 

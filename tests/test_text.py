@@ -66,3 +66,9 @@ def test_polarity_negation(spark):
 def test_readability_null_without_words(spark):
     r = col(spark, T.flesch_reading_ease(F.col("text")))
     assert r[0] is None and r[3] is not None
+
+
+def test_all_stopword_text_cleans_to_empty(spark):
+    df = spark.createDataFrame([(1, "The and of, to it! is a."), (2, "cats and dogs")], "id long, text string")
+    out = {r.id: r.c for r in df.select("id", T.clean_corpus(F.col("text")).alias("c")).collect()}
+    assert out == {1: "", 2: "cat dog"}
