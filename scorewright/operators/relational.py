@@ -64,6 +64,13 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
+def sample_fraction(df: DataFrame, fraction: float, seed: int, key: str = "id") -> DataFrame:
+    """Reproducible Bernoulli sample of about ``fraction`` of the rows, chosen by a hash of the key
+    (the same rows on every re-read and after executor loss, unlike ``sample``)."""
+    from scorewright.functions.hashing import split_hash
+    return df.filter(split_hash(F.col(key), seed) < F.lit(int(fraction * (1 << 32))))
+
+
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
     return df.filter(F.col(key) == F.lit(value))
 

@@ -227,8 +227,13 @@ def q_tune(spark, sf_dir):
     def make(p, seed):
         return M.gbt(max_iter=p["maxIter"], depth=p["maxDepth"], step=p["stepSize"], seed=seed)
 
-    return M.tune_on_validation(df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val"),
-                                make, space, trials=4, runs=2)
+    train, val = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val")
+    random_trials = M.tune_on_validation(train, val, make, space, trials=4, runs=2).select(
+        F.lit("random").alias("strategy"), F.lit(0).alias("round"), "params", F.lit(None).cast("int").alias("budget"),
+        "val_mse")
+    halving = M.successive_halving(train, val, lambda p, budget, seed: M.gbt(max_iter=budget, depth=p["maxDepth"], seed=seed),
+                                   {"maxDepth": [2, 3, 4]}, min_budget=5, factor=3, max_budget=15)
+    return random_trials.unionByName(halving.withColumn("strategy", F.lit("halving")))
 
 
 @query("batch_predict")

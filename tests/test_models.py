@@ -98,3 +98,15 @@ def test_grid_search_maps_back_to_alpha_ratio(spark):
     df = M.assembler(["a", "b"]).transform(_frame(spark)).withColumn("fold", (F.col("id") % 3).cast("int"))
     model, alpha, ratio, r2 = M.grid_search_cv(df, "features", max_iter=10, parallelism=2)
     assert alpha in M.ALPHAS and ratio in M.L1_RATIOS
+
+
+def test_successive_halving_keeps_best_third(spark):
+    from pyspark.ml.feature import VectorAssembler
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(_frame(spark))
+    train, val = df.filter("id % 4 <> 0"), df.filter("id % 4 = 0")
+    rounds = M.successive_halving(train, val, lambda p, budget, s: M.gbt(max_iter=budget, depth=p["d"], seed=s),
+                                  {"d": [1, 2, 3]}, min_budget=2, factor=3, max_budget=6).collect()
+    first = [r for r in rounds if r["round"] == 0]
+    second = [r for r in rounds if r["round"] == 1]
+    assert len(first) == 3 and len(second) == 1 and second[0].budget == 6
+    assert second[0].params == min(first, key=lambda r: (r.val_mse, r.params)).params

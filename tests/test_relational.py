@@ -77,3 +77,10 @@ def test_exact_quantiles_match_percentile(spark):
     exp = df.agg(F.percentile("a", [0.25, 0.5, 0.75]).alias("a"), F.percentile("b", [0.25, 0.5, 0.75]).alias("b")).first()
     for c in ["a", "b"]:
         assert all(abs(x - y) < 1e-12 for x, y in zip(got[c], exp[c]))
+
+
+def test_sample_fraction_is_reproducible(spark):
+    df = spark.range(0, 20000).toDF("id")
+    a = {r.id for r in R.sample_fraction(df, 0.1, 7).collect()}
+    b = {r.id for r in R.sample_fraction(df.repartition(5), 0.1, 7).collect()}
+    assert a == b and 1700 < len(a) < 2300
