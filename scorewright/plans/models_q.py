@@ -59,9 +59,9 @@ def q_fit_linear_regression(spark, sf_dir):
 
 def _fit_predict(spark, sf_dir, name, **kw):
     df = _model_frame(spark, sf_dir)
-    out = []
     sizes = M.topic_sizes(df)
-    for t in sorted(sizes):
+
+    def one(t):
         part = M.right_size(df.filter(F.col("topic") == F.lit(t)), sizes[t])
         train = part.filter(F.col("split") == "train").withColumn("label", F.col("target_score"))
         test = part.filter(F.col("split") == "test")
@@ -70,7 +70,9 @@ def _fit_predict(spark, sf_dir, name, **kw):
         else:
             model = M.build_model(name, PRED, train, "label", **kw).fit(train)
             p = model.transform(test)
-        out.append(p.select("id", "topic", F.col("prediction").alias("y_pred")))
+        return p.select("id", "topic", F.col("prediction").alias("y_pred"))
+
+    out = M.map_topics(one, sorted(sizes))
     res = out[0]
     for p in out[1:]:
         res = res.unionByName(p)
@@ -131,9 +133,9 @@ def _tfidf_frame(spark, sf_dir):
 def q_grid_search(spark, sf_dir):
     df = _tfidf_frame(spark, sf_dir)
     df = staging.stage(M.assembler(["tfidf", *PRED]).transform(df), "tfidf-frame")
-    rows = []
     sizes = M.topic_sizes(df)
-    for t in sorted(sizes):
+
+    def one(t):
         part = df.filter(F.col("topic") == F.lit(t))
         train = splits.kfold(part.filter(F.col("split") == "train"), 5, None, "id") \
             .withColumn("label", F.col("target_score"))
@@ -143,7 +145,11 @@ def q_grid_search(spark, sf_dir):
         pred = model.transform(test).select(F.col("prediction").cast("int").alias("a"),
                                             F.col("target_score").cast("int").alias("b"))
         k = metrics.quadratic_weighted_kappa(pred, "a", "b").first()["kappa"]
-        rows.append((t, alpha, ratio, float(r2), k))
+        train.unpersist()
+        return (t, alpha, ratio, float(r2), k)
+
+    # CrossValidator already fits 8 candidates at a time; topics run one after the other
+    rows = M.map_topics(one, sorted(sizes), parallelism=1)
     return spark.createDataFrame(rows, "topic string, alpha double, l1_ratio double, cv_r2 double, kappa double")
 
 
