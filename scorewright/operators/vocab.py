@@ -51,12 +51,13 @@ def bounded_vocabulary(tf: DataFrame, n_docs: int, min_df: int = 2, max_df: floa
     return kept
 
 
-def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "id", bounded: bool = True) -> DataFrame:
+def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "id", max_features: int | None = None) -> DataFrame:
     """(key, term, tfidf): tf * (ln((1+n)/(1+df)) + 1), each document scaled to unit L2 norm.
 
-    ``bounded`` says the vocabulary is capped by ``max_features`` -- then it
-    is broadcast; otherwise the join strategy is left to AQE.
+    A vocabulary capped by ``max_features`` has a proven size and is
+    broadcast; an uncapped one is joined as AQE decides from its runtime size.
     """
+    bounded = max_features is not None and max_features <= 100_000
     idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(F.broadcast(idf) if bounded else idf, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))

@@ -54,7 +54,7 @@ def q_tfidf(spark, sf_dir):
     e, tf = _tf(spark, sf_dir)
     n = e.count()
     vocab = V.bounded_vocabulary(tf, n, MIN_DF, MAX_DF, MAX_FEATURES)
-    return rounded(V.tfidf(tf, vocab, n))
+    return rounded(V.tfidf(tf, vocab, n, max_features=MAX_FEATURES))
 
 
 @query("word_cloud_frequencies", f"""WITH {E},
