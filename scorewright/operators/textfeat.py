@@ -15,7 +15,7 @@ kind of column, not the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import fixed, text as T
@@ -87,27 +87,47 @@ def term_frequencies(df: DataFrame, terms, key: str = "id", keep: list[str] | No
         .groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def similarity_scores(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
-    """(id, similarity) for essays with at least one term; see ``reference_similarity``.
+def sum_squared_counts(words: Column) -> Column:
+    """Sum over distinct words of (occurrences)^2, in-row: run lengths of the sorted array."""
+    zero = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).cast("bigint").alias("run"),
+                    F.lit(0).cast("bigint").alias("ss"))
+
+    def step(acc, w):
+        same = F.coalesce(acc["prev"] == w, F.lit(False))
+        return F.struct(w.alias("prev"),
+                        F.when(same, acc["run"] + 1).otherwise(F.lit(1).cast("bigint")).alias("run"),
+                        F.when(same, acc["ss"]).otherwise(acc["ss"] + acc["run"] * acc["run"]).alias("ss"))
+
+    return F.aggregate(F.array_sort(words), zero, step, lambda acc: acc["ss"] + acc["run"] * acc["run"])
 
-    The reference side (one document per topic) carries its own norm, so one
-    broadcast table serves both the dot product and the normalisation: an
-    essay sharing no term with its reference has dot 0 and similarity 0
-    whatever the reference norm is.
+
+def similarity_scores(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
+    """(id, similarity) for every essay; see ``reference_similarity``.
+
+    No (essay, term) table is shuffled:
+    * the reference side -- one document per topic -- is counted per
+      (topic, term) and carries its own norm (a small build side);
+    * the dot product is a sum over the essay's word occurrences of the
+      reference count of that word: exploded words meet the reference side
+      in a hash join, and the per-essay sum is combined map-side to one row
+      per essay before its shuffle;
+    * the essay norm is computed in-row from its sorted word array.
     """
-    tf = term_frequencies(essays, T.word_runs(F.col(text)), keep=[topic])
+    words = T.word_runs(F.col(text))
     refs = reference_essays(essays)
-    ref_tf = tf.join(refs.withColumnRenamed("ref_id", "id"), ["id", topic], "left_semi") \
-        .select(topic, "term", F.col("tf").alias("rtf"))
+    ref_docs = essays.join(refs.withColumnRenamed("ref_id", "id"), ["id", topic], "left_semi")
+    ref_tf = ref_docs.select(topic, F.explode(words).alias("term")).groupBy(topic, "term") \
+        .agg(F.count(F.lit(1)).alias("rtf"))
     ref_tf = ref_tf.withColumn(
         "rnorm", F.sqrt(F.sum(F.col("rtf") * F.col("rtf")).over(Window.partitionBy(topic))))
-    dots = tf.join(ref_tf, [topic, "term"], "left").groupBy("id").agg(
-        F.sum(F.col("tf") * F.coalesce(F.col("rtf"), F.lit(0))).alias("dot"),
-        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"),
-        F.max("rnorm").alias("rnorm"))
-    sim = F.when(F.col("dot") == 0, F.lit(0.0)).otherwise(
-        F.try_divide(F.col("dot").cast("double"), F.col("norm") * F.col("rnorm")))
-    return dots.select("id", F.coalesce(sim, F.lit(0.0)).alias("similarity"))
+    # one document per topic: small by design, checked before it is broadcast
+    ref_tf = relational.broadcast_if_small(ref_tf)
+    occurrences = essays.select("id", topic, F.explode(words).alias("term"))
+    dots = occurrences.join(ref_tf, [topic, "term"]).groupBy("id").agg(
+        F.sum("rtf").alias("dot"), F.max("rnorm").alias("rnorm"))
+    norms = essays.select("id", F.sqrt(sum_squared_counts(words).cast("double")).alias("norm"))
+    sim = F.try_divide(F.col("dot").cast("double"), F.col("norm") * F.col("rnorm"))
+    return norms.join(dots, "id", "left").select("id", F.coalesce(sim, F.lit(0.0)).alias("similarity"))
 
 
 def reference_similarity(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
@@ -117,7 +137,7 @@ def reference_similarity(essays: DataFrame, text: str = "text", topic: str = "to
     AQE broadcasts from its runtime size); essays with no term get 0.
     """
     sim = similarity_scores(essays, text, topic)
-    return essays.select("id", topic).join(sim, "id", "left").fillna(0.0, ["similarity"])
+    return essays.select("id", topic).join(sim, "id")
 
 
 def essay_features(essays: DataFrame, text: str = "text", target: str = "score",
