@@ -35,6 +35,33 @@ def term_stats(tf: DataFrame, key: str = "id") -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
+def corpus_term_stats(docs: DataFrame, terms: Column, stop_words=True) -> DataFrame:
+    """(term, df, n) straight from the documents, without a (document, term) shuffle.
+
+    n counts occurrences; df counts documents, from each document's distinct
+    terms (``array_distinct`` in-row).  Both are term-keyed aggregates that
+    combine map-side, so a hot term costs one row per task.
+    """
+    if stop_words:
+        terms = T.remove_stopwords(terms, None if stop_words is True else stop_words)
+    t = docs.select(terms.alias("_t"))
+    n = t.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    d = t.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return d.join(n, "term").select("term", "df", "n")
+
+
+def top_terms_from_stats(stats: DataFrame, k: int = 20) -> DataFrame:
+    return stats.orderBy(F.col("n").desc(), "term").limit(k).select("term", "n").orderBy("term")
+
+
+def vocabulary_from_stats(stats: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95,
+                          max_features: int | None = None) -> DataFrame:
+    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
+    if max_features:
+        kept = kept.orderBy(F.col("n").desc(), "term").limit(max_features)
+    return kept
+
+
 def top_terms(tf: DataFrame, k: int = 20) -> DataFrame:
     """k most frequent terms (ties by term), listed alphabetically."""
     stats = term_stats(tf)

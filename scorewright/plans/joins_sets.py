@@ -38,8 +38,8 @@ vocab AS (SELECT term FROM stats, nd WHERE df >= 3 AND df <= 0.2 * nd.nd ORDER B
 SELECT id, pos, word FROM x WHERE word IN (SELECT term FROM vocab)""")
 def q_semi_join(spark, sf_dir):
     e = essays(spark, sf_dir)
-    tf = V.doc_terms(e, T.vocabulary_terms(F.col("text")))
-    vocab = V.bounded_vocabulary(tf, e.count(), 3, 0.2, 2000).select(F.col("term").alias("word"))
+    stats = V.corpus_term_stats(e, T.vocabulary_terms(F.col("text")))
+    vocab = V.vocabulary_from_stats(stats, e.count(), 3, 0.2, 2000).select(F.col("term").alias("word"))
     return _word_positions(spark, sf_dir).join(F.broadcast(vocab), "word", "left_semi").select("id", "pos", "word")
 
 

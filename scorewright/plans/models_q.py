@@ -118,9 +118,9 @@ def q_tree_importance(spark, sf_dir):
 def _tfidf_frame(spark, sf_dir):
     """Predictors + the 2000-term TF-IDF vector (vocabulary fitted on all essays, as the reference)."""
     e = essays(spark, sf_dir)
-    tf = V.doc_terms(e, T.vocabulary_terms(F.col("text")))
     n = e.count()
-    vocab = V.bounded_vocabulary(tf, n, 3, 0.2, 2000).collect()
+    stats = V.corpus_term_stats(e, T.vocabulary_terms(F.col("text")))
+    vocab = V.vocabulary_from_stats(stats, n, 3, 0.2, 2000).collect()  # at most 2000 rows
     terms = [r["term"] for r in vocab]
     idf = [math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in vocab]
     docs = e.select("id", T.remove_stopwords(T.vocabulary_terms(F.col("text"))).alias("terms"))

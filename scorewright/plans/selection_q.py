@@ -136,7 +136,10 @@ FROM features f FULL OUTER JOIN tv ON f.id = tv.id""")
 def q_assemble(spark, sf_dir):
     e = essays(spark, sf_dir)
     f = textfeat.essay_features(e).select("id", "topic", "target_score", "token_count", "similarity")
-    tf = V.doc_terms(e, T.vocabulary_terms(F.col("text")))
-    vocab = V.bounded_vocabulary(tf, e.count(), 3, 0.2, 2000)
-    tv = tf.join(F.broadcast(vocab.select("term")), "term").groupBy("id").agg(F.count(F.lit(1)).alias("n_tfidf_terms"))
+    terms = T.remove_stopwords(T.vocabulary_terms(F.col("text")))
+    vocab = V.vocabulary_from_stats(V.corpus_term_stats(e, terms, stop_words=False), e.count(), 3, 0.2, 2000)
+    # distinct vocabulary terms per essay, counted in-row (no (essay, term) shuffle)
+    in_vocab = e.select("id", F.explode(F.array_distinct(terms)).alias("term")) \
+        .join(F.broadcast(vocab.select("term")), "term", "left_semi")
+    tv = in_vocab.groupBy("id").agg(F.count(F.lit(1)).alias("n_tfidf_terms"))
     return rounded(f.join(tv, "id", "full_outer").select("id", "topic", "target_score", "token_count", "similarity", "n_tfidf_terms"))

@@ -32,8 +32,8 @@ def _tf(spark, sf_dir):
 
 @query("top_terms", f"{TF_SQL} SELECT term, CAST(n AS BIGINT) AS n FROM (SELECT * FROM stats ORDER BY n DESC, term LIMIT 20)")
 def q_top_terms(spark, sf_dir):
-    _, tf = _tf(spark, sf_dir)
-    return V.top_terms(tf, 20)
+    e = essays(spark, sf_dir)
+    return V.top_terms_from_stats(V.corpus_term_stats(e, T.vocabulary_terms(F.col("text"))), 20)
 
 
 @query("doc_term_counts", f"{TF_SQL} SELECT id, term, tf FROM tf")
@@ -43,17 +43,22 @@ def q_doc_term_counts(spark, sf_dir):
 
 @query("bounded_vocabulary", f"{VOCAB_SQL} SELECT term, df, CAST(n AS BIGINT) AS n FROM vocab")
 def q_bounded_vocabulary(spark, sf_dir):
-    e, tf = _tf(spark, sf_dir)
-    return V.bounded_vocabulary(tf, e.count(), MIN_DF, MAX_DF, MAX_FEATURES)
+    e = essays(spark, sf_dir)
+    stats = V.corpus_term_stats(e, T.vocabulary_terms(F.col("text")))
+    return V.vocabulary_from_stats(stats, e.count(), MIN_DF, MAX_DF, MAX_FEATURES)
 
 
 @query("tfidf", f"""{VOCAB_SQL},
 w AS (SELECT tf.id, tf.term, tf.tf * (ln((1 + nd.nd) / (1 + v.df)) + 1) AS w FROM tf JOIN vocab v USING (term), nd)
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS tfidf FROM w""")
 def q_tfidf(spark, sf_dir):
-    e, tf = _tf(spark, sf_dir)
+    e = essays(spark, sf_dir)
     n = e.count()
-    vocab = V.bounded_vocabulary(tf, n, MIN_DF, MAX_DF, MAX_FEATURES)
+    terms = T.remove_stopwords(T.vocabulary_terms(F.col("text")))
+    vocab = V.vocabulary_from_stats(V.corpus_term_stats(e, terms, stop_words=False), n, MIN_DF, MAX_DF, MAX_FEATURES)
+    # only occurrences of the (at most MAX_FEATURES) vocabulary terms reach the (document, term) aggregate
+    occ = e.select("id", F.explode(terms).alias("term")).join(F.broadcast(vocab.select("term")), "term", "left_semi")
+    tf = occ.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return rounded(V.tfidf(tf, vocab, n, max_features=MAX_FEATURES))
 
 
