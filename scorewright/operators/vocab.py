@@ -111,11 +111,10 @@ def clean_words(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame
 def word_counts(words: DataFrame, key: str = "id") -> DataFrame:
     """(term, n, first_id, first_pos): count and first occurrence (document order by key)."""
     x = words.select(key, F.posexplode("words").alias("pos", "term"))
-    # per (document, term) first: hash aggregates on fixed-width values, so the
-    # struct minimum (a sort-based aggregate) only sees distinct pairs
-    per_doc = x.groupBy(key, "term").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_p"))
-    return per_doc.groupBy("term").agg(F.sum("_n").alias("n"),
-                                       F.min(F.struct(F.col(key).alias("k"), F.col("_p").alias("p"))).alias("_f")) \
+    # one term-keyed aggregate: count and the (document, position) minimum both
+    # combine map-side, so no (document, term) table is shuffled
+    return x.groupBy("term").agg(F.count(F.lit(1)).alias("n"),
+                                 F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))).alias("_f")) \
         .select("term", "n", F.col("_f.k").alias("first_id"), F.col("_f.p").cast("bigint").alias("first_pos"))
 
 
