@@ -53,7 +53,8 @@ def count_features(ann: DataFrame) -> DataFrame:
         "token_count": F.size(tokens).cast("bigint"),
         "unique_token_count": F.size(F.array_distinct(tokens)).cast("bigint"),
         "nostop_count": F.size(T.remove_stopwords(tokens)).cast("bigint"),
-        "sent_count": F.size(F.col("sents")).cast("bigint"),
+        # the number of lines; stripping them (the "sents" column) does not change it
+        "sent_count": F.size(F.split(c, "\n", -1)).cast("bigint"),
         "ner_count": F.size(F.col("ner")).cast("bigint"),
         "comma": T.literal_count(c, ","),
         "question": T.literal_count(c, "?"),
