@@ -164,3 +164,32 @@ def embedding_similarity(emb: DataFrame, key: str = "vec_id", vec: str = "embedd
 
     cos = F.try_divide(dot(d, r), F.sqrt(dot(d, d)) * F.sqrt(dot(r, r)))
     return emb.join(ref_vec, group).select(key, group, cos.alias("similarity"))
+
+
+def grammar_match_details(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+    """(key, rule_id, offset, length, replacement): one row per rule match (re-aimed grammar check).
+
+    Spark has no regex-position function, so offsets come from the text split
+    on the same regex: the k-th match starts after the first k pieces and the
+    k-1 earlier matches.  ``replacement`` is the rule applied to the matched
+    text.  Rules are few and fixed, so the per-rule explodes are unioned.
+    """
+    from scorewright.functions import fixed
+
+    def total_length(arr):
+        return F.aggregate(arr, F.lit(0).cast("bigint"), lambda acc, s: acc + F.length(s))
+
+    parts = []
+    for rule_id, pattern, repl in fixed.GRAMMAR_RULES:
+        matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        x = df.select(key, F.split(F.col(text), pattern, -1).alias("_pieces"), matches.alias("_m")) \
+            .filter(F.size("_m") > 0)
+        x = x.select(key, "_pieces", "_m", F.posexplode("_m").alias("_k", "match"))
+        offset = total_length(F.slice("_pieces", 1, F.col("_k") + 1)) + total_length(F.slice("_m", 1, F.col("_k")))
+        parts.append(x.select(key, F.lit(rule_id).alias("rule_id"), offset.alias("offset"),
+                              F.length("match").cast("bigint").alias("length"),
+                              F.regexp_replace(F.col("match"), pattern, repl).alias("replacement")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

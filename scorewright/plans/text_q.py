@@ -120,17 +120,27 @@ def q_sentence_words(spark, sf_dir):
     return s.select("id", "sent_no", F.size(ws).cast("bigint").alias("n_words"), F.array_join(ws, " ").alias("words"))
 
 
-RULE_UNION = " UNION ALL ".join(
-    f"SELECT id, {S.q(rid)} AS rule_id, {S.rule_count('text', p)} AS n_matches FROM essays"
-    for rid, p, _ in fixed.GRAMMAR_RULES)
+def _match_rows_sql(rid, pattern, repl):
+    m = f"regexp_extract_all(text, {S.q(pattern)})"
+    return f"""SELECT id, {S.q(rid)} AS rule_id, k, m, pieces FROM (
+      SELECT id, unnest(range(1, len({m}) + 1)) AS k, {m} AS m, string_split_regex(text, {S.q(pattern)}) AS pieces
+      FROM essays WHERE len({m}) > 0)"""
 
 
-@query("grammar_matches", f"""WITH {E}, m AS ({RULE_UNION}) SELECT id, rule_id, n_matches FROM m WHERE n_matches > 0""")
+RULE_ROWS = " UNION ALL ".join(_match_rows_sql(rid, p, r) for rid, p, r in fixed.GRAMMAR_RULES)
+RULE_CASES = " ".join(f"WHEN {S.q(rid)} THEN regexp_replace(m[k], {S.q(p)}, {S.q(S.duck_repl(r))})"
+                      for rid, p, r in fixed.GRAMMAR_RULES)
+
+
+@query("grammar_matches", f"""WITH {E}, r AS ({RULE_ROWS})
+SELECT id, rule_id,
+       CAST(coalesce(list_sum(list_transform(pieces[1:k], lambda p: length(p))), 0)
+            + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS offset,
+       CAST(length(m[k]) AS BIGINT) AS length,
+       CASE rule_id {RULE_CASES} END AS replacement
+FROM r""")
 def q_grammar_matches(spark, sf_dir):
-    e = _e(spark, sf_dir)
-    counts = e.select("id", *[T.rule_match_count(F.col("text"), p).alias(rid) for rid, p, _ in fixed.GRAMMAR_RULES])
-    long = counts.unpivot(["id"], [rid for rid, _, _ in fixed.GRAMMAR_RULES], "rule_id", "n_matches")
-    return long.filter(F.col("n_matches") > 0)
+    return textfeat.grammar_match_details(_e(spark, sf_dir))
 
 
 @query("correct_text", f"""{ANN_SQL} SELECT id, corrections, corrected FROM ann""")

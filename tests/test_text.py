@@ -72,3 +72,14 @@ def test_all_stopword_text_cleans_to_empty(spark):
     df = spark.createDataFrame([(1, "The and of, to it! is a."), (2, "cats and dogs")], "id long, text string")
     out = {r.id: r.c for r in df.select("id", T.clean_corpus(F.col("text")).alias("c")).collect()}
     assert out == {1: "", 2: "cat dog"}
+
+
+def test_grammar_match_offsets_agree_with_finditer(spark):
+    import regex
+    from scorewright.functions import fixed
+    text = "teh cat ,and  so!! Yes.No ,.teh"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    got = sorted((r.rule_id, r.offset, r.length) for r in textfeat.grammar_match_details(df).collect())
+    exp = sorted((rid, m.start(), m.end() - m.start())
+                 for rid, p, _ in fixed.GRAMMAR_RULES for m in regex.finditer(p, text))
+    assert got == exp and len(got) >= 5
