@@ -44,10 +44,13 @@ def corpus_term_stats(docs: DataFrame, terms: Column, stop_words=True) -> DataFr
     """
     if stop_words:
         terms = T.remove_stopwords(terms, None if stop_words is True else stop_words)
+    # one explode per document: every occurrence tagged 0, each distinct term once more tagged 1
     t = docs.select(terms.alias("_t"))
-    n = t.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    d = t.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return d.join(n, "term").select("term", "df", "n")
+    tagged = F.concat(F.transform("_t", lambda w: F.struct(w.alias("term"), F.lit(0).alias("d"))),
+                      F.transform(F.array_distinct("_t"), lambda w: F.struct(w.alias("term"), F.lit(1).alias("d"))))
+    x = t.select(F.inline(tagged))
+    return x.groupBy("term").agg(F.sum("d").alias("df"), F.sum(F.lit(1) - F.col("d")).alias("n")) \
+        .select("term", "df", "n")
 
 
 def top_terms_from_stats(stats: DataFrame, k: int = 20) -> DataFrame:

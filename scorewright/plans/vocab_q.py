@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorewright.functions import text as T
-from scorewright.operators import vocab as V
+from scorewright.operators import relational, vocab as V
 from scorewright.plans import sql as S
 from scorewright.plans.catalog import query, rounded
 from scorewright.sources import essays, load
@@ -56,6 +56,7 @@ def q_tfidf(spark, sf_dir):
     n = e.count()
     terms = T.remove_stopwords(T.vocabulary_terms(F.col("text")))
     vocab = V.vocabulary_from_stats(V.corpus_term_stats(e, terms, stop_words=False), n, MIN_DF, MAX_DF, MAX_FEATURES)
+    vocab = relational.broadcast_if_small(vocab, MAX_FEATURES)  # used twice; at most MAX_FEATURES rows
     # only occurrences of the (at most MAX_FEATURES) vocabulary terms reach the (document, term) aggregate
     occ = e.select("id", F.explode(terms).alias("term")).join(F.broadcast(vocab.select("term")), "term", "left_semi")
     tf = occ.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
