@@ -157,7 +157,9 @@ def histogram_bins(df: DataFrame, col: str, bins: int = 30, name: str | None = N
 
 
 def histogram_bins_multi(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
-    """``histogram_bins`` for several columns in two passes: one min/max aggregate, one binned count."""
+    """``histogram_bins`` for several columns: one min/max aggregate and one binned count over a
+    persisted narrow projection (the source, e.g. text features, is computed once)."""
+    df = df.select(*[F.col(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
     xs = {c: F.col(c).cast("double") for c in cols}
     row = df.agg(*[F.min(x).alias(f"lo_{c}") for c, x in xs.items()],
                  *[F.max(x).alias(f"hi_{c}") for c, x in xs.items()]).first()
@@ -174,12 +176,12 @@ def histogram_bins_multi(df: DataFrame, cols: list[str], bins: int = 30) -> Data
                for c, (lo, hi, w) in ranges.items()]
     counts = df.select(F.inline(F.array(*structs))).filter(F.col("bin").isNotNull()) \
         .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(c, b, lo + (b - 1) * w, lo + b * w) for c, (lo, hi, w) in ranges.items()
-                                  for b in range(1, bins + 1)],
-                                 "feature string, bin bigint, bin_lo double, bin_hi double")
-    return grid.join(counts, ["feature", "bin"], "left").select(
-        "feature", "bin", "bin_lo", "bin_hi", F.coalesce(F.col("n"), F.lit(0)).alias("n"))
+    # at most bins x len(cols) rows
+    got = {(r["feature"], r["bin"]): r["n"] for r in counts.collect()}
+    df.unpersist()
+    rows = [(c, b, lo + (b - 1) * w, lo + b * w, got.get((c, b), 0)) for c, (lo, hi, w) in ranges.items()
+            for b in range(1, bins + 1)]
+    return df.sparkSession.createDataFrame(rows, "feature string, bin bigint, bin_lo double, bin_hi double, n bigint")
 
 
 def score_relation(df: DataFrame, features: list[str], score: str = "score") -> DataFrame:
