@@ -9,6 +9,8 @@ from scorewright.llm import substring_dedup, suffix_dedup
 from scorewright.llm.common import documents
 from scorewright.llm.decontam import decontaminate
 from scorewright.llm.exact_dedup import exact_dedup
+from scorewright.llm.language_id import language_id
+from scorewright.llm.line_dedup import repeated_lines
 from scorewright.llm.packing import pack
 from scorewright.llm.token_records import token_records
 from scorewright.sources.tables import load
@@ -59,3 +61,25 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.repeated_bytes(documents(spark, sf_dir)))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+ORACLES["op8_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, i AS start, lines[i:i + 2] AS run
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM d)),
+f AS (SELECT doc_id, start, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS place FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 3)) AS i FROM f WHERE place > 1),
+l AS (SELECT doc_id, len(lines) AS n_lines, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d)
+SELECT l.doc_id, any_value(n_lines) AS n_lines, count(gone.i) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id"""
