@@ -12,6 +12,7 @@ from scorewright.llm.exact_dedup import exact_dedup
 from scorewright.llm.language_id import language_id
 from scorewright.llm.line_dedup import repeated_lines
 from scorewright.llm.packing import pack
+from scorewright.llm.quality import quality
 from scorewright.llm.token_records import token_records
 from scorewright.sources.tables import load
 
@@ -83,3 +84,17 @@ l AS (SELECT doc_id, len(lines) AS n_lines, unnest(lines) AS line, unnest(range(
 SELECT l.doc_id, any_value(n_lines) AS n_lines, count(gone.i) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id"""
+
+
+def documents_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_text: bool) -> DataFrame:
+    """A document's host is its source; the part of a source in one language is a path."""
+    path = F.concat_ws("/", "source", F.coalesce("lang", F.lit("")))
+    return quality(docs, load(spark, sf_dir, "labels"), F.col("source"), path, keep_text=keep_text)
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    scored = documents_quality(spark, docs, sf_dir, keep_text=False)
+    return scored.select("doc_id", "p_quality", "p_toxic", "host_quality", "path_quality", "path_toxic", "quality",
+                         "toxic", "kept")
