@@ -2,6 +2,11 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame.  Each result is written as Parquet and read again as the next stage's ``docs``.
+All stages but the last return the columns of ``documents``.
+
+A stage that decides per document joins its decisions back by doc_id.  Rows repeated
+under one id share one decision; the exact stage keeps one row of them.  Rows without
+an id are decided by their text alone, like any other row.
 """
 
 from __future__ import annotations
@@ -10,17 +15,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import documents, stage
+from scorewright.llm.decontam import decontaminate
+from scorewright.llm.exact_dedup import exact_dedup
+from scorewright.llm.near_dedup import near_dedup
 from scorewright.llm.packing import pack
+from scorewright.llm.queries import documents_quality
+from scorewright.sources.tables import load
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` but for the ids in ``dropped`` (doc_id; null stands for rows without an id)."""
+    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents judged bad or toxic go."""
+    return documents_quality(spark, docs, sf_dir, keep_text=True).filter("kept").select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact de-duplication: the smallest doc_id of equal texts stays, once."""
+    decided, _ = stage(exact_dedup(docs), "exact-decisions")
+    again = decided.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = _without(docs, decided.filter("NOT kept"))
+    repeated = kept.join(again.withColumnRenamed("doc_id", "_again"), kept["doc_id"].eqNullSafe(F.col("_again")), "left_semi")
+    return _without(kept, again).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-duplicates: the smallest doc_id of each class stays."""
+    decided, _ = stage(near_dedup(docs).filter("NOT kept").select("doc_id"), "near-decisions")
+    return _without(docs, decided)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Decontamination: documents with at least a twentieth of their words in benchmark windows go."""
+    found = decontaminate(docs, load(spark, sf_dir, "benchmark"))
+    decided, _ = stage(found.filter("contaminated").select("doc_id"), "benchmark-decisions")
+    return _without(docs, decided)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = pack(docs)
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """Packing: the pieces of all remaining documents in windows of 1024 tokens."""
+    return pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", exact_copies),
+    ("MinHash near-dedup", near_copies),
+    ("benchmark decontamination", clean_of_benchmark),
+    ("packing", packed),
+]
 
-#: Tokenisation and packing have no SQL form: tests compare the stages with brute force instead.
+#: A trained classifier, weighted samples and a tokeniser have no SQL form: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

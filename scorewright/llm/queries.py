@@ -11,6 +11,7 @@ from scorewright.llm.decontam import decontaminate
 from scorewright.llm.exact_dedup import exact_dedup
 from scorewright.llm.language_id import language_id
 from scorewright.llm.line_dedup import repeated_lines
+from scorewright.llm.near_dedup import near_dedup
 from scorewright.llm.packing import pack
 from scorewright.llm.quality import quality
 from scorewright.llm.token_records import token_records
@@ -98,3 +99,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = documents_quality(spark, docs, sf_dir, keep_text=False)
     return scored.select("doc_id", "p_quality", "p_toxic", "host_quality", "path_quality", "path_toxic", "quality",
                          "toxic", "kept")
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
