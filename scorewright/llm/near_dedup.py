@@ -142,8 +142,8 @@ def _bands(batches):
             yield pa.RecordBatch.from_pydict({"band": pa.array(key.view(np.int64)), "doc_id": batch["doc_id"], "sig": short})
 
 
-def pairs_of(ids: np.ndarray, sigs: np.ndarray) -> tuple[set[tuple[int, int]], int]:
-    """Pairs to verify among the members of a bucket, and its centre.
+def pairs_of(ids: np.ndarray, sigs: np.ndarray) -> tuple[set[tuple[int, int]], list[int]]:
+    """Pairs to verify among the members of a bucket, and its centres.
 
     Everybody meets the centre; who is unlike it meets a centre of the rest; everybody
     also meets its nearest members of all."""
@@ -151,7 +151,7 @@ def pairs_of(ids: np.ndarray, sigs: np.ndarray) -> tuple[set[tuple[int, int]], i
     order = np.argsort(ids)
     ids, sigs = ids[order], sigs[order]
     pairs: set[tuple[int, int]] = set()
-    left, centre = np.ones(n, bool), -1
+    left, centres = np.ones(n, bool), []
     while left.any():
         members = np.flatnonzero(left)
         votes = np.zeros(len(members), np.int64)
@@ -159,12 +159,13 @@ def pairs_of(ids: np.ndarray, sigs: np.ndarray) -> tuple[set[tuple[int, int]], i
             values, inverse, counts = np.unique(sigs[members, c], return_inverse=True, return_counts=True)
             votes += counts[inverse] == counts.max()
         middle = int(members[votes.argmax()])
-        centre = middle if centre < 0 else centre
         alike = (sigs == sigs[middle]).mean(axis=1)
         near = np.flatnonzero(alike >= HOPE)
         pairs.update((min(middle, int(i)), max(middle, int(i))) for i in near if i != middle)
         left[near] = left[middle] = False
-        if left.sum() > 1 and len(near) <= 1:
+        if not centres or len(near) > 1:
+            centres.append(int(ids[middle]))
+        else:
             break  # strangers: nearest neighbours alone
     for start in range(0, n, 64):
         block = sigs[start:start + 64]
@@ -175,12 +176,12 @@ def pairs_of(ids: np.ndarray, sigs: np.ndarray) -> tuple[set[tuple[int, int]], i
         best = np.argsort(-alike, axis=1, kind="stable")[:, :NEAREST]
         for i, others in enumerate(best):
             pairs.update((min(start + i, int(o)), max(start + i, int(o))) for o in others if alike[i, o] >= HOPE * width)
-    return {(int(ids[a]), int(ids[b])) for a, b in pairs}, int(ids[centre])
+    return {(int(ids[a]), int(ids[b])) for a, b in pairs}, centres
 
 
 def _meet(table):
-    """One shuffle group holds many small buckets: the pairs of each, and the centres of parts of hot ones."""
-    band, part = table["band"].to_numpy(), table["part"].to_numpy()
+    """One shuffle group holds many small buckets: the pairs of each, and the centres of hot ones or their parts."""
+    band, part, split = table["band"].to_numpy(), table["part"].to_numpy(), table["split"].to_numpy()
     ids = table["doc_id"].to_numpy()
     sigs = table["sig"].to_pylist()
     order = np.lexsort((part, band))
@@ -189,39 +190,61 @@ def _meet(table):
     for group in np.split(order, cuts):
         if len(group) > 1:
             own = np.frombuffer(b"".join(sigs[i] for i in group), "<u4").reshape(len(group), -1)
-            found, centre = pairs_of(ids[group], own)
+            found, centres = pairs_of(ids[group], own)
             rows += [(a, b, None, None) for a, b in found]
         else:
-            centre = int(ids[group[0]])
-        if part[group[0]] >= 0:
-            at = group[int(np.flatnonzero(ids[group] == centre)[0])]
-            rows.append((None, centre, int(band[group[0]]), sigs[at]))
+            centres = [int(ids[group[0]])]
+        if split[group[0]]:
+            where = dict(zip(ids[group].tolist(), group.tolist()))
+            rows += [(None, c, int(band[group[0]]), sigs[where[c]]) for c in centres]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)],
                     names=["a", "b", "band", "sig"])
 
 
+def _near_centres(batches):
+    """Members of hot buckets with those of their buckets' centres that they may resemble."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own, middle = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(batch.num_rows, -1)
+                       for c in ("sig", "centre_sig"))
+        a, b = batch["doc_id"].to_numpy(), batch["centre"].to_numpy()
+        near = ((own == middle).mean(axis=1) >= HOPE) & (a != b)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)[near]), "b": pa.array(np.maximum(a, b)[near])})
+
+
 def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct (a, b) pairs that some band brought together, by the rules of ``pairs_of``."""
+    """Distinct (a, b) pairs that some band brought together, by the rules of ``pairs_of``.
+
+    A bucket of more than ``LIMIT`` rows is dealt into parts by document; the parts' centres form the
+    next, smaller bucket, until one part is left, and then all its members meet its centres."""
     spark = signed.sparkSession
-    rows, paths = signed.select("doc_id", "sig").mapInArrow(_bands, "band long, doc_id long, sig binary"), []
-    found = None
-    while rows is not None:
-        counts, path = stage(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band-counts")
-        paths.append(path)
-        size = counts.agg(F.sum("n"), F.max("n")).first()
-        parts = F.ceil(F.col("n") / LIMIT)
-        part = F.when(F.col("n") > LIMIT, F.pmod(F.xxhash64("doc_id"), parts)).otherwise(F.lit(-1)).cast("long")
-        groups = int((size[0] or 0) // (20 * LIMIT)) + 1
+    all_rows = rows = signed.select("doc_id", "sig").mapInArrow(_bands, "band long, doc_id long, sig binary")
+    found, paths, level = None, [], 0
+    while True:
+        counts, path = stage(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1" if not level else "n > 0"),
+                             "band-counts")
+        size, most = counts.agg(F.sum("n"), F.max("n")).first()
+        hot = F.col("n") > LIMIT
+        part = F.when(hot, F.pmod(F.xxhash64("doc_id", F.lit(level)), F.ceil(F.col("n") / LIMIT))).otherwise(F.lit(-1))
+        groups = int((size or 0) // (20 * LIMIT)) + 1
         shuffle = F.pmod(F.xxhash64("band", "part"), F.lit(groups))
-        met = (rows.join(counts, "band").withColumn("part", part).withColumn("g", shuffle).groupBy("g")
-               .applyInArrow(_meet, "a long, b long, band long, sig binary"))
-        met, path = stage(met, "band-pairs")
-        paths.append(path)
+        met = (rows.join(counts, "band").withColumns({"part": part.cast("long"), "split": hot | F.lit(level > 0)})
+               .withColumn("g", shuffle).groupBy("g").applyInArrow(_meet, "a long, b long, band long, sig binary"))
+        met, path2 = stage(met, "band-pairs")
+        paths += [path, path2]
         own = met.filter("a is not null").select("a", "b")
         found = own if found is None else found.unionByName(own)
-        hot = (size[1] or 0) > LIMIT
-        rows = met.filter("a is null").select("band", F.col("b").alias("doc_id"), "sig") if hot else None
+        centres = met.filter("a is null").select("band", F.col("b").alias("doc_id"), "sig")
+        if (most or 0) <= LIMIT:
+            break
+        rows, level = centres, level + 1
+    if level:
+        centres, path = stage(centres.select("band", F.col("doc_id").alias("centre"), F.col("sig").alias("centre_sig")),
+                              "band-centres")
+        paths.append(path)
+        found = found.unionByName(all_rows.join(centres, "band").mapInArrow(_near_centres, "a long, b long"))
     pairs, _ = stage(found.distinct(), "near-pairs")
     release(spark, *paths)
     return pairs
