@@ -5,8 +5,8 @@ DataFrame.  Each result is written as Parquet and read again as the next stage's
 All stages but the last return the columns of ``documents``.
 
 A stage that decides per document joins its decisions back by doc_id.  Rows repeated
-under one id share one decision; the exact stage keeps one row of them.  Rows without
-an id are decided by their text alone, like any other row.
+under one id share one decision; the exact stage keeps one row of those with equal
+texts.  Rows without an id count as one id that sorts last.
 """
 
 from __future__ import annotations
