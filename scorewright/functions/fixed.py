@@ -56,6 +56,26 @@ POS_FEATURES = [
     ("num", "NUM"), ("part", "PART"), ("intj", "INTJ"),
 ]
 
+# The 30 predictors of the score models, in the reference's order.
+PREDICTORS = [
+    "corrections", "similarity", "token_count", "unique_token_count", "nostop_count", "sent_count",
+    "ner_count", "comma", "question", "exclamation", "quotation", "organization", "caps", "person",
+    "location", "money", "time", "date", "percent", "noun", "adj", "pron", "verb", "cconj", "adv",
+    "det", "propn", "num", "part", "intj",
+]
+
+# The 28 features that feature selection looks at: token_count and nostop_count join only for the models.
+SELECTION_FEATURES = [
+    "corrections", "similarity", "unique_token_count", "sent_count",
+    "ner_count", "comma", "question", "exclamation", "quotation", "organization", "caps", "person",
+    "location", "money", "time", "date", "percent", "noun", "adj", "pron", "verb", "cconj", "adv",
+    "det", "propn", "num", "part", "intj",
+]
+
+# The elastic-net search grid.
+L1_RATIOS = [0.01, 0.1, 0.5, 0.9]
+ALPHAS = [0.01, 0.1, 1.0]
+
 # ---- this project's own small lexicons (re-aimed annotators) -------------
 
 # Closed-class words by tag (matched on the lower-cased token).
@@ -95,7 +115,9 @@ POS_SUFFIXES = [
     ("ADJ", ["ous", "ful", "able", "ible", "ive", "ic", "less", "ish", "al"]),
 ]
 
-# Sentiment lexicon: word -> polarity in [-1, 1].
+# Sentiment lexicon: word -> polarity in [-1, 1].  Written for this project in the manner of public
+# English lexicons; many values are rounded averages as such lexicons give them, so results are
+# comparable to theirs, not equal.
 POLARITY = [
     ("good", 0.7), ("great", 0.8), ("excellent", 1.0), ("best", 1.0), ("better", 0.5),
     ("happy", 0.8), ("love", 0.5), ("nice", 0.6), ("wonderful", 1.0), ("amazing", 0.6),

@@ -30,54 +30,71 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*sums).select(_rows(structs))
 
 
+def row_digest(cols: list[str]):
+    """SHA-256 of a row's values: each is marked as null or preceded by its length, so no two rows run together."""
+    parts = []
+    for c in cols:
+        v = F.col(f"`{c}`").cast("string")
+        parts.append(F.when(v.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.length(v).cast("string"), F.lit(":"), v)))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> int:
-    """Rows equal to an earlier row on ``cols`` (nulls equal) = n - number of distinct rows.
+    """Rows equal to an earlier row on ``cols`` (nulls equal) = n - number of distinct rows."""
+    return duplicate_count_frame(df, [cols or df.columns]).first()["n_duplicates"]
 
-    Two phases keep the shuffle small and the answer exact: group 96-bit row
-    hashes first (8+4 bytes a row), then compare real values only among rows
-    whose hash occurs more than once.
-    """
-    return duplicate_count_frame(df, cols).first()[0]
 
+def duplicate_count_frame(df: DataFrame, column_sets: list[list[str]], name: str = "n_duplicates") -> DataFrame:
+    """(columns, n_duplicates) per column set, from one scan.
 
-def duplicate_count_frame(df: DataFrame, cols: list[str] | None = None, name: str = "n_duplicates") -> DataFrame:
-    cols = cols or df.columns
-    keyed = df.select(*cols, F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2"))
-    cand = keyed.groupBy("_h1", "_h2").count().filter(F.col("count") > 1).select("_h1", "_h2")
-    groups = keyed.join(cand, ["_h1", "_h2"], "left_semi").groupBy("_h1", "_h2", *cols).count()
-    return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias(name))
+    Only 32-byte digests are shuffled, never a text, and equal ones are counted map-side first.
+    """
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(",".join(cols)).alias("columns"), row_digest(cols).alias("_d"))
+                                        for cols in column_sets])))
+    groups = rows.groupBy("columns", "_d").agg(F.count(F.lit(1)).alias("_n"))
+    counts = groups.groupBy("columns").agg(F.sum(F.col("_n") - 1).cast("bigint").alias(name))
+    sets = df.sparkSession.createDataFrame([(",".join(c),) for c in column_sets], "columns string")
+    return sets.join(counts, "columns", "left").select("columns", F.coalesce(name, F.lit(0)).cast("bigint").alias(name))
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75)) -> dict[str, list]:
     """Exact linearly interpolated quantiles of several columns, computed across all tasks.
 
-    No buffer holds a whole column: values of all columns are unpivoted,
-    range-sorted once by (column, value) and numbered per column with
-    per-task offsets (``row_number_by``); only the two order statistics
-    around each quantile position (at most 2 x len(qs) values per column)
-    come back to the driver.
+    Rows are reduced to (column, value, count) first, so a value that many rows share is
+    one row.  The distinct values are range-partitioned, each task's counts are summed up
+    in order, the tasks' totals give the offsets, and the order statistics around each
+    quantile position (at most 2 x len(qs) per column) come back to the driver.
     """
-    from scorewright.operators.relational import row_number_by
+    from pyspark.sql import Window
+
+    from scorewright.sources.staging import stage
     vals = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                                  F.col(f"`{c}`").cast("double").alias("value")) for c in cols])))
-    vals = vals.filter(F.col("value").isNotNull())
-    counts = {r["column_name"]: r["n"] for r in vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = vals.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts.repartitionByRange("column_name", "value").withColumn("_task", F.spark_partition_id()),
+                   "value-counts")
+    totals = counts.groupBy("_task", "column_name").agg(F.sum("n").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("column_name").orderBy("_task")) - F.col("_n")
+    totals = stage(totals.withColumn("_ahead", ahead).select("_task", "column_name", "_ahead", "_n"), "value-offsets")
+    sizes = {r["column_name"]: r["n"] for r in totals.groupBy("column_name").agg(F.sum("_n").alias("n")).collect()}
     wanted = []
     for c in cols:
-        n = counts.get(c, 0)
+        n = sizes.get(c, 0)
         for q in qs:
             if n:
                 pos = (n - 1) * q
                 wanted += [(c, int(pos) + 1), (c, min(int(pos) + 2, n))]
     if not wanted:
         return {c: [None] * len(qs) for c in cols}
-    ranked = row_number_by(vals, ["column_name"], ["value"], "rn")
     picks = df.sparkSession.createDataFrame(sorted(set(wanted)), "column_name string, rn bigint")
-    got = {(r["column_name"], r["rn"]): r["value"]
-           for r in ranked.join(F.broadcast(picks), ["column_name", "rn"]).collect()}
+    upto = F.sum("n").over(Window.partitionBy("_task", "column_name").orderBy("value")) + F.col("_ahead")
+    ranked = counts.join(totals.drop("_n"), ["_task", "column_name"]).withColumn("_upto", upto)
+    hit = (F.col("rn") <= F.col("_upto")) & (F.col("rn") > F.col("_upto") - F.col("n"))
+    found = ranked.withColumnRenamed("column_name", "_c").join(F.broadcast(picks), (F.col("_c") == F.col("column_name")) & hit)
+    got = {(r["column_name"], r["rn"]): r["value"] for r in found.select("column_name", "rn", "value").collect()}
     out = {}
     for c in cols:
-        n = counts.get(c, 0)
+        n = sizes.get(c, 0)
         res = []
         for q in qs:
             if not n:
@@ -94,15 +111,23 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool =
                      accuracy: int = 10000) -> DataFrame:
     """(column_name, count, mean, std, min, p25, p50, p75, max); nulls skipped; std with n-1.
 
-    ``exact`` quantiles use ``exact_quantiles`` (a distributed sort, no
+    ``exact`` quantiles use ``exact_quantiles`` (counts of distinct values, no
     per-column buffer); ``exact=False`` uses ``percentile_approx`` in the
     same single aggregate pass.
     """
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    aggs, structs = [], []
     if exact:
-        # several passes (counts, range sort, moments) over a narrow numeric projection
+        # two passes (value counts, moments) over a narrow numeric projection
         df = df.select(*[F.col(f"`{c}`") for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _describe(df, cols, exact, accuracy)
+    finally:
+        if exact:
+            df.unpersist()
+
+
+def _describe(df: DataFrame, cols: list[str], exact: bool, accuracy: int) -> DataFrame:
+    aggs, structs = [], []
     quant = exact_quantiles(df, cols) if exact else None
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
@@ -120,9 +145,8 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool =
     out = df.agg(*aggs).select(F.inline(F.array(*structs)))
     if not exact:
         return out
-    # k rows, one per column: materialise them and release the cached projection
+    # k rows, one per column: materialise them while the projection is cached
     rows = out.collect()
-    df.unpersist()
     return df.sparkSession.createDataFrame(rows, out.schema)
 
 
@@ -160,6 +184,13 @@ def histogram_bins_multi(df: DataFrame, cols: list[str], bins: int = 30) -> Data
     """``histogram_bins`` for several columns: one min/max aggregate and one binned count over a
     persisted narrow projection (the source, e.g. text features, is computed once)."""
     df = df.select(*[F.col(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _histograms(df, cols, bins)
+    finally:
+        df.unpersist()
+
+
+def _histograms(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
     xs = {c: F.col(c).cast("double") for c in cols}
     row = df.agg(*[F.min(x).alias(f"lo_{c}") for c, x in xs.items()],
                  *[F.max(x).alias(f"hi_{c}") for c, x in xs.items()]).first()
@@ -178,7 +209,6 @@ def histogram_bins_multi(df: DataFrame, cols: list[str], bins: int = 30) -> Data
         .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
     # at most bins x len(cols) rows
     got = {(r["feature"], r["bin"]): r["n"] for r in counts.collect()}
-    df.unpersist()
     rows = [(c, b, lo + (b - 1) * w, lo + b * w, got.get((c, b), 0)) for c, (lo, hi, w) in ranges.items()
             for b in range(1, bins + 1)]
     return df.sparkSession.createDataFrame(rows, "feature string, bin bigint, bin_lo double, bin_hi double, n bigint")

@@ -100,17 +100,6 @@ def top_k_per_group(df: DataFrame, group: str | list[str], k: int, *order: Colum
     return df.withColumn(rank_col, F.row_number().over(w).cast("bigint")).filter(F.col(rank_col) <= k)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast a derived table after checking its size; beyond ``max_rows`` leave the join to AQE.
-
-    The table is persisted first, so the count that checks it is also the
-    computation the join reuses.  Use for sides that are small by design (one
-    row per topic, one document per topic) but whose size no parameter bounds.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
-
-
 def first_per_group(df: DataFrame, group: str, order: list[Column], value_cols: list[str]) -> DataFrame:
     """First row per group in ``order`` via ``min(struct(order..., values...))``.
 

@@ -3,8 +3,9 @@
 The single-feature least-squares fit per topic is ``regr_slope`` /
 ``regr_intercept`` under one ``groupBy(topic)``: partial aggregation keeps
 one buffer per topic per task, so an oversized topic is no slower than a
-small one, and the coefficient table (one row per topic) is joined back as
-a broadcast chosen by AQE from its runtime size.
+small one.  The coefficient table (one row per topic) is staged before it is
+joined back, so Spark knows its bytes when it plans and broadcasts it while it
+is below its threshold; the rows are not shuffled on the topic.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ def ols_by_topic(df: DataFrame, feature: str, target: str = "score", topic: str
 
 
 def predict_ols(df: DataFrame, coef: DataFrame, feature: str, topic: str = "topic") -> DataFrame:
+    from scorewright.sources.staging import stage
     pred = F.col("intercept") + F.col("slope") * F.col(feature).cast("double")
+    coef = stage(coef, "ols-coefficients")  # one row per topic, of known size when the join is planned
     return df.join(coef.select(topic, "slope", "intercept"), topic).withColumn("y_pred", pred)
 
 

@@ -138,7 +138,8 @@ def select_k_best(fscores: DataFrame, kept: DataFrame, k: int = 10, group: str =
     with a mask over the filtered one; this is the intended meaning).
     """
     cand = fscores.join(kept.filter("kept").select(group, "feature"), [group, "feature"])
-    w = Window.partitionBy(group).orderBy(F.col("f").desc_nulls_last(), "feature")
+    # equal scores up to rounding noise are ties, broken by name
+    w = Window.partitionBy(group).orderBy(F.round("f", 6).desc_nulls_last(), "feature")
     return cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k) \
         .select(group, "feature", "f", "rank")
 
@@ -157,7 +158,8 @@ def select_k_best_by_group(df: DataFrame, features: list[str], target: str, grou
                                        F.col(f"r_{f}").alias("r")) for f in features]))
     long = wide.select(group, "_n", rows)
     cand = long.filter(F.coalesce(F.col("std") != 0, F.lit(False))).withColumn("f", f_score(F.col("r"), F.col("_n")))
-    w = Window.partitionBy(group).orderBy(F.col("f").desc_nulls_last(), "feature")
+    # equal scores up to rounding noise are ties, broken by name
+    w = Window.partitionBy(group).orderBy(F.round("f", 6).desc_nulls_last(), "feature")
     return cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k) \
         .select(group, "feature", "f", "rank")
 
@@ -166,12 +168,14 @@ def standard_scale(df: DataFrame, features: list[str], group: str | None = "topi
     """(x - mean) / population std per group; a constant column scales to 0 (like sklearn).
 
     Group moments come from one ``groupBy`` (partial aggregation, no task
-    holds a whole group) and return to the rows by a join on the group key.
+    holds a whole group); they are staged, so Spark knows their few bytes when
+    it plans the join and leaves the rows where they are.
     """
     g = [group] if group else []
+    from scorewright.sources.staging import stage
     stats = df.groupBy(*g).agg(*[F.avg(F.col(f).cast("double")).alias(f"_m_{f}") for f in features],
                                *[F.stddev_pop(F.col(f).cast("double")).alias(f"_s_{f}") for f in features])
-    j = df.join(stats, g) if g else _attach_scalar_stats(df, stats)
+    j = df.join(stage(stats, "group-moments"), g) if g else _attach_scalar_stats(df, stats)
     cols = {f: F.coalesce(F.try_divide(F.col(f).cast("double") - F.col(f"_m_{f}"),
                                        F.when(F.col(f"_s_{f}") != 0, F.col(f"_s_{f}"))), F.lit(0.0))
             for f in features}

@@ -20,13 +20,9 @@ from pyspark.sql import functions as F
 
 from scorewright.functions import fixed, text as T
 from scorewright.operators import relational
+from scorewright.sources import staging
 
-PREDICTORS = [
-    "corrections", "similarity", "token_count", "unique_token_count", "nostop_count", "sent_count",
-    "ner_count", "comma", "question", "exclamation", "quotation", "organization", "caps", "person",
-    "location", "money", "time", "date", "percent", "noun", "adj", "pron", "verb", "cconj", "adv",
-    "det", "propn", "num", "part", "intj",
-]
+PREDICTORS = fixed.PREDICTORS
 
 
 def annotate(df: DataFrame, text: str = "text") -> DataFrame:
@@ -102,51 +98,51 @@ def sum_squared_counts(words: Column) -> Column:
     return F.aggregate(F.array_sort(words), zero, step, lambda acc: acc["ss"] + acc["run"] * acc["run"])
 
 
-def similarity_scores(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
-    """(id, similarity) for every essay; see ``reference_similarity``.
+def reference_terms(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
+    """(topic, term, rtf, rnorm): the term counts of each topic's reference essay and their norm, staged.
 
-    No (essay, term) table is shuffled:
-    * the reference side -- one document per topic -- is counted per
-      (topic, term) and carries its own norm (a small build side);
-    * the dot product is a sum over the essay's word occurrences of the
-      reference count of that word: exploded words meet the reference side
-      in a hash join, and the per-essay sum is combined map-side to one row
-      per essay before its shuffle;
-    * the essay norm is computed in-row from its sorted word array.
+    Staging gives the table a size that Spark knows when it plans the join with the essays' words:
+    it broadcasts it below its threshold and shuffles beyond.
     """
-    words = T.word_runs(F.col(text))
-    refs = reference_essays(essays)
+    refs = staging.stage(reference_essays(essays), "reference-ids")
     ref_docs = essays.join(refs.withColumnRenamed("ref_id", "id"), ["id", topic], "left_semi")
-    ref_tf = ref_docs.select(topic, F.explode(words).alias("term")).groupBy(topic, "term") \
+    counts = ref_docs.select(topic, F.explode(T.word_runs(F.col(text))).alias("term")).groupBy(topic, "term") \
         .agg(F.count(F.lit(1)).alias("rtf"))
-    ref_tf = ref_tf.withColumn(
-        "rnorm", F.sqrt(F.sum(F.col("rtf") * F.col("rtf")).over(Window.partitionBy(topic))))
-    # one document per topic: small by design, checked before it is broadcast
-    ref_tf = relational.broadcast_if_small(ref_tf)
-    occurrences = essays.select("id", topic, F.explode(words).alias("term"))
-    dots = occurrences.join(ref_tf, [topic, "term"]).groupBy("id").agg(
-        F.sum("rtf").alias("dot"), F.max("rnorm").alias("rnorm"))
-    norms = essays.select("id", F.sqrt(sum_squared_counts(words).cast("double")).alias("norm"))
-    sim = F.try_divide(F.col("dot").cast("double"), F.col("norm") * F.col("rnorm"))
-    return norms.join(dots, "id", "left").select("id", F.coalesce(sim, F.lit(0.0)).alias("similarity"))
+    norm = F.sqrt(F.sum(F.col("rtf") * F.col("rtf")).over(Window.partitionBy(topic)))
+    return staging.stage(counts.withColumn("rnorm", norm), "reference-terms")
 
 
-def reference_similarity(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
-    """(id, topic, similarity): cosine of term-frequency vectors against the topic's reference essay.
+def with_similarity(essays: DataFrame, rows: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
+    """``rows`` (with id, topic and the in-row ``_norm``) plus their cosine with the topic's reference essay.
 
-    The reference side is one document per topic (a small build side that
-    AQE broadcasts from its runtime size); essays with no term get 0.
+    The dot product sums the reference count of every word occurrence: exploded words meet the
+    reference terms, and the sum is combined map-side to one row per essay before its shuffle, so no
+    (essay, term) table moves.  Essays that share no word get 0.
     """
-    sim = similarity_scores(essays, text, topic)
-    return essays.select("id", topic).join(sim, "id")
+    occurrences = essays.select("id", topic, F.explode(T.word_runs(F.col(text))).alias("term"))
+    dots = occurrences.join(reference_terms(essays, text, topic), [topic, "term"]).groupBy("id").agg(
+        F.sum("rtf").alias("_dot"), F.max("rnorm").alias("_rnorm"))
+    sim = F.try_divide(F.col("_dot").cast("double"), F.col("_norm") * F.col("_rnorm"))
+    return rows.join(dots, "id", "left").withColumn("similarity", F.coalesce(sim, F.lit(0.0))) \
+        .drop("_dot", "_rnorm", "_norm")
+
+
+def essay_norm(text: str = "text") -> Column:
+    return F.sqrt(sum_squared_counts(T.word_runs(F.col(text))).cast("double"))
+
+
+def reference_similarity(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
+    """(id, topic, similarity): cosine of term-frequency vectors against the topic's reference essay."""
+    return with_similarity(essays, essays.select("id", topic, essay_norm(text).alias("_norm")), text, topic)
 
 
 def essay_features(essays: DataFrame, text: str = "text", target: str = "score",
                    topic: str = "topic") -> DataFrame:
-    """(id, topic, target_score, 30 predictors) in one projection + one similarity join."""
-    feats = count_features(annotate(essays.select("id", topic, target, text), text))
-    sim = similarity_scores(essays.select("id", topic, target, text), text, topic)
-    out = feats.join(sim, "id", "left").fillna(0.0, ["similarity"])
+    """(id, topic, target_score, 30 predictors): one projection of the text, then one join for the dot products."""
+    slim = essays.select("id", topic, target, text)
+    feats = count_features(annotate(slim.withColumn("_norm", essay_norm(text)), text))
+    feats = feats.select("id", topic, target, "_norm", *[p for p in PREDICTORS if p != "similarity"])
+    out = with_similarity(slim, feats, text, topic)
     return out.select("id", topic, F.col(target).cast("double").alias("target_score"), *PREDICTORS)
 
 
@@ -154,8 +150,10 @@ def embedding_similarity(emb: DataFrame, key: str = "vec_id", vec: str = "embedd
                          group: str = "label") -> DataFrame:
     """Cosine of each vector against its group's reference vector (lowest key)."""
     refs = relational.first_per_group(emb, group, [F.col(key)], [key]).withColumnRenamed(key, "ref_id")
+    refs = staging.stage(refs, "reference-vector-ids")
     ref_vec = emb.join(refs.withColumnRenamed("ref_id", key), [key, group], "left_semi") \
         .select(group, F.col(vec).alias("ref_vec"))
+    ref_vec = staging.stage(ref_vec, "reference-vectors")  # one vector per group, of known size: no shuffle on the group
     d = F.transform(F.col(vec), lambda x: x.cast("double"))
     r = F.transform(F.col("ref_vec"), lambda x: x.cast("double"))
 
@@ -166,30 +164,41 @@ def embedding_similarity(emb: DataFrame, key: str = "vec_id", vec: str = "embedd
     return emb.join(ref_vec, group).select(key, group, cos.alias("similarity"))
 
 
+def _match_step(rule_id: str):
+    """Append a match at the running offset and move the offset behind it."""
+    def step(acc, s):
+        size = F.length(s["match"]).cast("bigint")
+        here = acc["at"] + s["gap"]
+        one = F.struct(F.lit(rule_id).alias("rule_id"), here.alias("offset"), size.alias("length"), s["match"].alias("match"))
+        return F.struct((here + size).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+
+    return step
+
+
 def grammar_match_details(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(key, rule_id, offset, length, replacement): one row per rule match (re-aimed grammar check).
 
-    Spark has no regex-position function, so offsets come from the text split
-    on the same regex: the k-th match starts after the first k pieces and the
-    k-1 earlier matches.  ``replacement`` is the rule applied to the matched
-    text.  Rules are few and fixed, so the per-rule explodes are unioned.
+    Spark has no regex-position function, so offsets come from the text split on the same
+    regex: the k-th match starts after the first k pieces and the k-1 earlier matches.  One
+    left-to-right ``aggregate`` per rule carries that running offset and collects the matches;
+    the rules' arrays are concatenated in one projection (one scan) and exploded once.
     """
-    from scorewright.functions import fixed
-
-    def total_length(arr):
-        return F.aggregate(arr, F.lit(0).cast("bigint"), lambda acc, s: acc + F.length(s))
-
-    parts = []
-    for rule_id, pattern, repl in fixed.GRAMMAR_RULES:
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(
+        "array<struct<rule_id:string,offset:bigint,length:bigint,match:string>>").alias("found"))
+    rules = []
+    for rule_id, pattern, _ in fixed.GRAMMAR_RULES:
         matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-        x = df.select(key, F.split(F.col(text), pattern, -1).alias("_pieces"), matches.alias("_m")) \
-            .filter(F.size("_m") > 0)
-        x = x.select(key, "_pieces", "_m", F.posexplode("_m").alias("_k", "match"))
-        offset = total_length(F.slice("_pieces", 1, F.col("_k") + 1)) + total_length(F.slice("_m", 1, F.col("_k")))
-        parts.append(x.select(key, F.lit(rule_id).alias("rule_id"), offset.alias("offset"),
-                              F.length("match").cast("bigint").alias("length"),
-                              F.regexp_replace(F.col("match"), pattern, repl).alias("replacement")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        gaps = F.transform(F.split(F.col(text), pattern, -1), lambda p: F.length(p).cast("bigint"))
+        steps = F.filter(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))),
+                         lambda s: s["match"].isNotNull())
+
+        rules.append(F.when(F.regexp_count(F.col(text), F.lit(pattern)) > 0,
+                            F.aggregate(steps, start, _match_step(rule_id), lambda acc: acc["found"])).otherwise(start["found"]))
+    x = df.select(key, F.inline(F.concat(*rules)))
+    replacement = F.col("match")
+    cases = None
+    for rule_id, pattern, repl in fixed.GRAMMAR_RULES:
+        fixed_up = F.regexp_replace("match", pattern, repl)
+        hit = F.col("rule_id") == rule_id
+        cases = F.when(hit, fixed_up) if cases is None else cases.when(hit, fixed_up)
+    return x.select(key, "rule_id", "offset", "length", cases.otherwise(replacement).alias("replacement"))

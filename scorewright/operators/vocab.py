@@ -10,6 +10,7 @@ a parameter (``max_features``, ``num_words``) are broadcast or collected.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,15 +82,13 @@ def bounded_vocabulary(tf: DataFrame, n_docs: int, min_df: int = 2, max_df: floa
     return kept
 
 
-def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "id", max_features: int | None = None) -> DataFrame:
+def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "id") -> DataFrame:
     """(key, term, tfidf): tf * (ln((1+n)/(1+df)) + 1), each document scaled to unit L2 norm.
 
-    A vocabulary capped by ``max_features`` has a proven size and is
-    broadcast; an uncapped one is joined as AQE decides from its runtime size.
+    How the vocabulary is joined is left to its size: a staged one is broadcast below Spark's threshold.
     """
-    bounded = max_features is not None and max_features <= 100_000
     idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(F.broadcast(idf) if bounded else idf, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    w = tf.join(idf, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("_w") / norm).alias("tfidf"))
 
@@ -136,28 +135,26 @@ def top_index(words: DataFrame, num_words: int, key: str = "id") -> DataFrame:
     return top.withColumn("idx", F.row_number().over(w).cast("bigint")).select("term", "n", "idx")
 
 
-def _indexed_positions(words: DataFrame, index: DataFrame, num_words: int, key: str) -> DataFrame:
-    """(key, pos, word, idx) for every word position; idx null for unknown or >= num_words.
+def _lookup(index: DataFrame, num_words: int) -> dict[str, int]:
+    """The index below ``num_words`` on the driver: fewer than ``num_words`` entries by that parameter."""
+    rows = index.filter(F.col("idx") < num_words).select("term", "idx").limit(num_words).collect()
+    return {r["term"]: r["idx"] for r in rows}
 
-    The index side has fewer than ``num_words`` rows by construction, so it is
-    broadcast; ``posexplode_outer`` keeps essays without words.
-    """
-    small = index.filter(F.col("idx") < num_words).select(F.col("term").alias("word"), "idx")
-    x = words.select(key, F.posexplode_outer("words").alias("pos", "word"))
-    return x.join(F.broadcast(small), "word", "left")
 
+def _encoder(table: dict[str, int], unknown: int | None):
+    """Arrow-batched in-row lookup of a word array; no word leaves its row, nothing is shuffled."""
+    @F.pandas_udf("array<bigint>")
+    def encode(words: pd.Series) -> pd.Series:
+        if unknown is None:
+            return words.map(lambda ws: [i for i in map(table.get, ws) if i is not None])
+        return words.map(lambda ws: [table.get(w, unknown) for w in ws])
 
-def _ordered_ids(x: DataFrame, key: str, value: Column, keep) -> DataFrame:
-    """Re-collect per key in word order (collect_list skips the nulls of dropped words)."""
-    item = F.when(keep, F.struct(F.col("pos"), value.alias("v")))
-    return x.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s")) \
-        .select(key, F.transform("_s", lambda e: e["v"]).alias("seq"))
+    return encode
 
 
 def encode_sequences(words: DataFrame, index: DataFrame, num_words: int = 5000, key: str = "id") -> DataFrame:
     """(key, seq): word -> index, unknown words and indexes >= num_words dropped, order kept."""
-    x = _indexed_positions(words, index, num_words, key)
-    return _ordered_ids(x, key, F.col("idx"), F.col("idx").isNotNull())
+    return words.select(key, _encoder(_lookup(index, num_words), None)("words").alias("seq"))
 
 
 def pad_sequences(df: DataFrame, col: str = "seq", maxlen: int = 500, value: int = 0) -> DataFrame:
@@ -175,14 +172,13 @@ def encode_with_mask(words: DataFrame, index: DataFrame, num_words: int = 5000,
                      key: str = "id") -> DataFrame:
     """(key, input_ids, attention_mask): [CLS] ids [SEP], right-truncated to max_len and
     right-padded to the longest row (at most max_len); unknown words map to [UNK]."""
-    x = _indexed_positions(words, index, num_words, key)
-    value = F.coalesce(F.col("idx") + WORD_OFFSET, F.lit(UNK_ID).cast("bigint"))
-    ids = _ordered_ids(x, key, value, F.col("word").isNotNull())
-    full = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), F.slice("seq", 1, max_len - 2),
+    table = {w: i + WORD_OFFSET for w, i in _lookup(index, num_words).items()}
+    cut = F.slice("words", 1, max_len - 2)  # before encoding: what is cut off is never looked up
+    full = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), _encoder(table, UNK_ID)(cut),
                     F.array(F.lit(SEP_ID).cast("bigint")))
-    enc = ids.select(key, full.alias("input_ids"))
-    longest = enc.agg(F.max(F.size("input_ids"))).first()[0] or 0
-    target = min(max_len, int(longest))
+    enc = words.select(key, full.alias("input_ids"))
+    longest = words.agg(F.max(F.least(F.size("words"), F.lit(max_len - 2)))).first()[0]
+    target = 2 + (longest or 0)
     padded = F.concat(F.col("input_ids"), F.array_repeat(F.lit(0).cast("bigint"), F.lit(target) - F.size("input_ids")))
     return enc.select(key, padded.alias("input_ids")).withColumn(
         "attention_mask", F.transform("input_ids", lambda x: F.when(x != 0, 1).otherwise(0)))

@@ -143,8 +143,9 @@ def predictions_3way(spark, sf_dir):
     e = splits.train_val_test(essays(spark, sf_dir), "id", seed=42).select("id", "topic", "word_count", "score", "split")
     e = stage(e, "ols-3way-input")  # fit and scoring read one narrow pass over the text
     coef = scoring.ols_by_topic(e, "word_count")
-    return scoring.predict_ols(e, coef, "word_count").select(
+    preds = scoring.predict_ols(e, coef, "word_count").select(
         "id", "split", F.col("score").alias("y_true"), "y_pred")
+    return stage(preds, "ols-predictions")  # errors and kappa read them once each
 
 
 @query("regression_metrics", f"""{PRED3_SQL}

@@ -25,24 +25,26 @@ def q_schema_profile(spark, sf_dir):
     return P.schema_profile(load(spark, sf_dir, "documents"))
 
 
-@query("null_counts", """WITH j AS (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
-SELECT * FROM (SELECT 'doc_id' AS column_name, CAST(count(*) - count(doc_id) AS BIGINT) AS n_null FROM j
-UNION ALL SELECT 'lang', CAST(count(*) - count(lang) AS BIGINT) FROM j
-UNION ALL SELECT 'quality', CAST(count(*) - count(quality) AS BIGINT) FROM j
-UNION ALL SELECT 'toxic', CAST(count(*) - count(toxic) AS BIGINT) FROM j)""")
+NULL_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+
+
+@query("null_counts", "WITH j AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)\n"
+       + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS n_null FROM j" for c in NULL_COLS))
 def q_null_counts(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", "lang")
-    lab = load(spark, sf_dir, "labels")
-    return P.null_counts(d.join(lab, "doc_id", "left").select("doc_id", "lang", "quality", "toxic"))
+    d = load(spark, sf_dir, "documents")
+    # only whether a text is null matters: its bytes stay out of the join
+    slim = d.withColumn("text", F.when(F.col("text").isNotNull(), F.lit(1)))
+    return P.null_counts(slim.join(load(spark, sf_dir, "labels"), "doc_id", "left").select(*NULL_COLS))
 
 
 @query("duplicate_rows", """SELECT 'text' AS columns, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT text FROM documents)) AS BIGINT) AS n_duplicates FROM documents
 UNION ALL SELECT 'text,lang,source', CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS BIGINT) FROM documents""")
 def q_duplicate_rows(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
-    a = P.duplicate_count_frame(d, ["text"]).select(F.lit("text").alias("columns"), "n_duplicates")
-    b = P.duplicate_count_frame(d, ["text", "lang", "source"]).select(F.lit("text,lang,source").alias("columns"), "n_duplicates")
-    return a.unionByName(b)
+    return P.duplicate_count_frame(load(spark, sf_dir, "documents"), [["text"], ["text", "lang", "source"]])
+
+
+#: Every numeric column of the essay table.
+DESCRIBED = ["id", "n_chars", "word_count", "score", "split_hash", "rater1", "rater2"]
 
 
 def _describe_sql(col):
@@ -52,9 +54,9 @@ def _describe_sql(col):
             f"round(quantile_cont({x}, 0.75), 6) AS p75, round(max({x}), 6) AS max FROM essays")
 
 
-@query("describe_numeric", f"WITH {E} " + " UNION ALL ".join(_describe_sql(c) for c in ["id", "word_count", "score"]))
+@query("describe_numeric", f"WITH {E} " + " UNION ALL ".join(_describe_sql(c) for c in DESCRIBED))
 def q_describe(spark, sf_dir):
-    return rounded(P.describe_numeric(essays(spark, sf_dir), ["id", "word_count", "score"]))
+    return rounded(P.describe_numeric(essays(spark, sf_dir), DESCRIBED))
 
 
 @query("distinct_id_audit", "SELECT count(DISTINCT doc_id) AS n_distinct, count(*) AS n_rows FROM documents")

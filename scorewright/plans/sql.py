@@ -22,12 +22,12 @@ def duck_repl(repl: str) -> str:
 
 
 ESSAYS = r"""essays AS (
-  SELECT id, topic, source, text, word_count,
+  SELECT id, topic, source, text, n_chars, word_count,
          CAST(length(bin(word_count)) AS INTEGER) AS score,
          split_hash,
          CAST(length(bin(word_count)) AS INTEGER) AS rater1,
          CAST(greatest(1, length(bin(word_count)) + split_hash % 3 - 1) AS INTEGER) AS rater2
-  FROM (SELECT doc_id AS id, lang AS topic, source, text,
+  FROM (SELECT doc_id AS id, lang AS topic, source, text, n_chars,
                CAST(len(regexp_extract_all(text, '(\S+)', 1)) AS BIGINT) AS word_count,
                ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':26'), 1, 8))::BIGINT AS split_hash
         FROM documents) d)"""

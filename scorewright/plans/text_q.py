@@ -8,7 +8,7 @@ from scorewright.functions import fixed, text as T
 from scorewright.operators import annotate as A, textfeat
 from scorewright.plans import sql as S
 from scorewright.plans.catalog import query, rounded
-from scorewright.sources import essays, load
+from scorewright.sources import essays, load, staging
 
 E = S.ESSAYS
 
@@ -235,7 +235,8 @@ refs AS (SELECT topic, id AS ref_id FROM (SELECT topic, id, row_number() OVER (P
 SELECT e.id, e.topic, r.ref_id FROM essays e JOIN refs r ON e.topic = r.topic""")
 def q_join_topic_reference(spark, sf_dir):
     e = _e(spark, sf_dir)
-    return e.select("id", "topic").join(textfeat.reference_essays(e), "topic").select("id", "topic", "ref_id")
+    refs = staging.stage(textfeat.reference_essays(e), "topic-references")  # known size: no shuffle on the topic
+    return e.select("id", "topic").join(refs, "topic").select("id", "topic", "ref_id")
 
 
 @query("sentiment_polarity", f"WITH {E} SELECT id, round({S.sentiment_polarity('text')}, 6) AS polarity FROM essays")

@@ -1,13 +1,16 @@
 """Session construction and the shared scratch location.
 
 On a cluster the scratch location is whatever ``spark.checkpoint.dir``
-names (a shared, fault-tolerant folder).  Only when it is unset -- local
-runs and tests -- do we create one of our own.
+names (a shared, fault-tolerant folder); without it nothing is staged there.
+Only a ``local`` master may do without: driver and executors are one process,
+so a temporary folder is shared, and it goes when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,14 +45,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only if none is configured."""
+    """Return the shared checkpoint folder; a ``local`` master gets a temporary one if none is configured."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="scorewright-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 

@@ -31,18 +31,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy per-row work at least one task per core.
+#: Session setting with which a caller may ask for that many partitions of the essays' texts (unset: as read).
+INPUT_PARTITIONS = "scorewright.input.partitions"
 
-    A large table is read in many splits and is returned unchanged.  A
-    small file (one row group is one task) is hash-partitioned on ``key``
-    into ``defaultParallelism`` tasks; as a side effect later aggregates and
-    windows keyed by ``key`` find their input already clustered.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
-    return df
+
+def as_asked(df: DataFrame) -> DataFrame:
+    """Tables are read in the splits of their files.  A caller whose few files hold one row group each
+    may set ``scorewright.input.partitions``; nothing is moved otherwise, whatever the sizes."""
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def essay_score(text: Column) -> Column:
@@ -51,7 +48,7 @@ def essay_score(text: Column) -> Column:
 
 
 def bind_essays(documents: DataFrame, seed: int = 26) -> DataFrame:
-    """``documents`` -> essays(id, topic, source, text, word_count, score, split_hash, rater1, rater2).
+    """``documents`` -> essays(id, topic, source, text, n_chars, word_count, score, split_hash, rater1, rater2).
 
     All columns are lazy projections; Catalyst prunes the ones a query does
     not use, so e.g. the md5 hash is only computed when a split is needed.
@@ -64,6 +61,7 @@ def bind_essays(documents: DataFrame, seed: int = 26) -> DataFrame:
         F.col("lang").alias("topic"),
         F.col("source"),
         F.col("text"),
+        F.col("n_chars"),
         wc.alias("word_count"),
         score.alias("score"),
         h.alias("split_hash"),
@@ -74,4 +72,4 @@ def bind_essays(documents: DataFrame, seed: int = 26) -> DataFrame:
 
 
 def essays(spark: SparkSession, sf_dir: str, seed: int = 26) -> DataFrame:
-    return bind_essays(spread(load(spark, sf_dir, "documents"), "doc_id"), seed)
+    return bind_essays(as_asked(load(spark, sf_dir, "documents")), seed)
