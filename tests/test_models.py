@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from scorewright.operators import models as M
+from scorewright.operators import gram, models as M
 
 
 def cd_elastic_net(X, y, alpha, l1_ratio, iters=5000):
@@ -94,11 +94,38 @@ def test_tuning_picks_minimum(spark):
     assert len(rows) == 3 and min(r.val_mse for r in rows) == trials.agg(F.min("val_mse")).first()[0]
 
 
-def test_grid_search_maps_back_to_alpha_ratio(spark):
-    df = M.assembler(["a", "b"]).transform(_frame(spark)).withColumn("fold", (F.col("id") % 3).cast("int"))
-    model, alpha, ratio, r2 = M.grid_search_cv(df, "features", max_iter=10, parallelism=2)
-    assert alpha in M.ALPHAS and ratio in M.L1_RATIOS
-
+def test_gram_fits_match_coordinate_descent(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(240, 4)) @ rng.normal(size=(4, 4)) * [1.0, 30.0, 0.1, 1.0]
+    X = np.column_stack((X, np.full(240, 3.0)))  # a constant gets no weight
+    y = X[:, :4] @ [1.0, 0.05, 4.0, 0.0] + rng.normal(size=240)
+    rows = [(i % 2, *map(float, x), float(t)) for i, (x, t) in enumerate(zip(X, y))]
+    df = spark.createDataFrame(rows, "topic int, a double, b double, c double, d double, e double, y double").repartition(3)
+    for alpha, ratio in ((0.1, 0.01), (0.5, 0.5), (1.0, 0.9)):
+        fits = {r["topic"]: r for r in gram.elastic_nets(df, list("abcde"), "y", ["topic"], alpha, ratio).collect()}
+        for t in (0, 1):
+            w, b = cd_elastic_net(X[t::2, :4], y[t::2], alpha, ratio, iters=3000)
+            assert np.allclose(fits[t]["coefficients"], [*w, 0.0], atol=1e-6)
+            assert abs(fits[t]["intercept"] - b) < 1e-5 and fits[t]["n_train"] == 120
+
+
+def test_grid_search_reads_folds_off_the_matrices(spark):
+    rng = np.random.default_rng(6)
+    X, folds = rng.normal(size=(150, 3)), np.arange(150) % 5
+    y = X @ [2.0, -1.0, 0.0] + rng.normal(size=150)
+    df = spark.createDataFrame([("t", int(f), x.tolist(), float(v)) for f, x, v in zip(folds, X, y)],
+                               "topic string, fold int, x array<double>, y double")
+    found = gram.grid_search(df, "x", "y", "topic", "fold", [0.01, 0.1, 1.0], [0.1, 0.9]).collect()
+    assert len(found) == 6 and sum(r["best"] for r in found) == 1
+    for r in found:
+        scores = []
+        for f in range(5):
+            w, b = cd_elastic_net(X[folds != f], y[folds != f], r["alpha"], r["l1_ratio"], iters=300)
+            e = y[folds == f] - X[folds == f] @ w - b
+            scores.append(1 - (e @ e) / ((y[folds == f] - y[folds == f].mean()) ** 2).sum())
+        assert abs(r["cv_r2"] - np.mean(scores)) < 1e-6
+    top = max(found, key=lambda r: r["cv_r2"])
+    assert top["best"] and np.allclose(top["coefficients"], cd_elastic_net(X, y, top["alpha"], top["l1_ratio"], 300)[0], atol=1e-5)
 
 def test_successive_halving_keeps_best_third(spark):
     from pyspark.ml.feature import VectorAssembler
