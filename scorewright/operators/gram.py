@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 #: Partial matrices that one task of the first summing step reads.
 FAN = 64
 #: Rows of a matrix that are stored together.
-BLOCK = 64
+BLOCK = 16
+#: Least exactness of the optimality conditions in a search, relative to the largest correlation (the reference's 1e-4).
+SEARCH_TOLERANCE = 1e-4
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -74,12 +76,13 @@ def _system(m: np.ndarray, rhs: np.ndarray) -> np.ndarray:
 
 
 def solve(z: np.ndarray, alpha: float, l1_ratio: float, tol: float = 1e-9, start: np.ndarray | None = None,
-          sweeps: int = 100_000) -> tuple[np.ndarray, float]:
+          rounds: int = 400) -> tuple[np.ndarray, float]:
     """(coefficients, intercept) that minimise 1/(2n)|y - Xw - b|^2 + alpha r |w|_1 + alpha (1 - r)/2 |w|^2.
 
-    ``z`` is the cross-product matrix of (1, x, y).  Accelerated proximal steps on the centred and scaled
-    problem find the signs; then the linear system of the non-zero coefficients is solved, and the outcome
-    is accepted only if it satisfies the optimality conditions.  Raises if they are never met.
+    ``z`` is the cross-product matrix of (1, x, y).  On the centred and scaled problem, accelerated
+    proximal steps find which coefficients are not zero, and Newton steps solve the linear system of
+    those and correct the choice.  The outcome is accepted only if it satisfies the optimality
+    conditions; raises if that is never the case.
     """
     n = z[0, 0]
     mean = z[0, 1:] / n
@@ -87,40 +90,79 @@ def solve(z: np.ndarray, alpha: float, l1_ratio: float, tol: float = 1e-9, start
     g, b = c[:-1, :-1], c[:-1, -1]
     spread = np.sqrt(np.maximum(np.diag(g), 0))
     live = np.flatnonzero(spread > 1e-9 * max(1.0, spread.max(initial=0)))
-    w = np.zeros(len(b))
+    w = np.zeros(len(b)) if start is None else start.copy()
+    w[spread <= 1e-9 * max(1.0, spread.max(initial=0))] = 0
     if len(live):
-        s = 1 / spread[live]
-        a, rhs = g[np.ix_(live, live)] * np.outer(s, s), b[live] * s  # scaled to unit variance
-        ridge, lasso = alpha * (1 - l1_ratio) * s * s, alpha * l1_ratio * s
-        size = 1 / (np.linalg.norm(a, 2) + ridge.max())
-        v = start[live] / s if start is not None else np.zeros(len(live))
-        u, t = v.copy(), 1.0
-        limit = tol * max(1.0, np.abs(rhs).max())
-        for k in range(1, sweeps + 1):
-            new = u - size * (a @ u + ridge * u - rhs)
-            new = np.sign(new) * np.maximum(np.abs(new) - size * lasso, 0)
-            if (u - new) @ (new - v) > 0:
-                t = 1.0  # restart the acceleration
-            t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            u = new + (t - 1) / t2 * (new - v)
-            v, t = new, t2
-            if k % 50 == 0 or k == sweeps:
-                on = np.flatnonzero(v)
-                signs = np.sign(v[on])
-                exact = np.zeros(len(v))
-                m = a[np.ix_(on, on)] + np.diag(ridge[on])
-                exact[on] = _system(m, rhs[on] - lasso[on] * signs)
-                slope = rhs - a @ exact - ridge * exact
-                fits = (np.sign(exact[on]) == signs).all() and (np.abs(slope) <= lasso + limit).all()
-                if fits:
-                    v = exact
+        g, b = g[np.ix_(live, live)], b[live]
+        # from a strong penalty to the wanted one: each optimum is close to the next
+        for strength in [*(alpha * 2.0 ** k for k in range(4, 0, -1) if alpha > 0), alpha]:
+            # every coordinate scaled to unit curvature, its ridge included
+            s = 1 / np.sqrt(np.diag(g) + strength * (1 - l1_ratio))
+            a, rhs, v = g * np.outer(s, s), b * s, w[live] / s
+            ridge, lasso = strength * (1 - l1_ratio) * s * s, strength * l1_ratio * s
+            limit, size = tol * max(1.0, np.abs(rhs).max()), None
+            for _ in range(rounds if strength == alpha else 1):
+                found = _newton(a, rhs, ridge, lasso, v, limit)
+                if found is not None:
+                    v = found
                     break
-        else:
-            raise ArithmeticError(f"elastic net not converged after {sweeps} steps")
-        w[live] = v * s
+                size = size or 1 / (1.2 * _largest(a) + ridge.max())
+                v = _proximal(a, rhs, ridge, lasso, v, size, 100)
+                if _optimal(rhs - a @ v - ridge * v, lasso, v, limit):
+                    found = v
+                    break
+            w[live] = v * s
+        if found is None:
+            raise ArithmeticError(f"elastic net not converged after {rounds} rounds")
     return w, float(mean[-1] - mean[:-1] @ w)
 
 
+def _optimal(slope, lasso, v, limit: float) -> bool:
+    """The optimality conditions: a zero's slope within the L1 penalty, another's equal to it, up to ``limit``."""
+    on = v != 0
+    return bool((np.abs(slope) <= lasso + limit).all() and (np.abs(slope - lasso * np.sign(v))[on] <= limit).all())
+
+
+def _largest(a: np.ndarray) -> float:
+    """Largest eigenvalue by power iterations (an estimate from below, used with room)."""
+    v, top = np.random.default_rng(0).normal(size=len(a)), 1.0
+    for _ in range(60):
+        v = a @ v
+        top = np.linalg.norm(v)
+        v /= top
+    return top
+
+
+def _proximal(a, rhs, ridge, lasso, v, size: float, steps: int) -> np.ndarray:
+    """Accelerated proximal steps with restarts."""
+    u, t = v.copy(), 1.0
+    for _ in range(steps):
+        new = u - size * (a @ u + ridge * u - rhs)
+        new = np.sign(new) * np.maximum(np.abs(new) - size * lasso, 0)
+        if (u - new) @ (new - v) > 0:
+            t = 1.0
+        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        u = new + (t - 1) / t2 * (new - v)
+        v, t = new, t2
+    return v
+
+
+def _newton(a, rhs, ridge, lasso, v, limit: float, steps: int = 12) -> np.ndarray | None:
+    """Semi-smooth Newton steps from ``v``: the optimum, or None if the choice of non-zero ones keeps changing."""
+    curve = 1 / (np.diag(a) + ridge)  # coordinates' own step sizes
+    for _ in range(steps):
+        trial = v + curve * (rhs - a @ v - ridge * v)
+        on = np.flatnonzero(np.abs(trial) > curve * lasso)
+        signs = np.sign(trial[on])
+        exact = np.zeros(len(v))
+        exact[on] = _system(a[np.ix_(on, on)] + np.diag(ridge[on]), rhs[on] - lasso[on] * signs)
+        slope = rhs - a @ exact - ridge * exact
+        if (exact[on] * signs >= 0).all() and (np.abs(slope) <= lasso + limit).all():
+            return exact
+        v = exact
+    return None
+
+
 def r_squared(z: np.ndarray, w: np.ndarray, b: float) -> float:
     """R^2 of a linear model on the rows behind a cross-product matrix."""
     v = np.concatenate(([b], w, [-1.0]))
@@ -156,43 +198,34 @@ def predict(df: DataFrame, fits: DataFrame, features: list[str], groups: list[st
 
 def grid_search(train: DataFrame, features: str, label: str, group: str, fold: str, alphas: list[float],
                 l1_ratios: list[float]) -> DataFrame:
-    """(group, alpha, l1_ratio, cv_r2, best, coefficients of the best, intercept): elastic nets over a grid.
+    """(group, alpha, l1_ratio, cv_r2, best, coefficients, intercept): elastic nets over a grid, the best refitted.
 
     Every fold's matrix comes from the one pass; a training set is the sum of the others, and the
-    held-out R^2 is read off the held-out matrix, so neither fits nor scores read rows again.
+    held-out R^2 is read off the held-out matrix, so neither fits nor scores read rows again.  Ties go
+    to the first pair of the grid.
     """
-    from scorewright.sources.staging import stage
-    sums = stage(cross_products(train, features, label, [group, fold]), "fold-products")
+    sums = cross_products(train, features, label, [group, fold])
     grid = [(r, a) for r in l1_ratios for a in alphas]
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Mean held-out R^2 of one group's grid; along falling alphas each fit starts at the last."""
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [square(part) for _, part in pdf.groupby(fold)]
         whole, scores = sum(parts), {pair: [] for pair in grid}
         for z in parts:
             for r in l1_ratios:
                 w = None
-                for a in sorted(alphas, reverse=True):
-                    w, b = solve(whole - z, a, r, 1e-6, w)
+                for a in sorted(alphas, reverse=True):  # each fit starts at the last
+                    w, b = solve(whole - z, a, r, SEARCH_TOLERANCE, w)
                     scores[r, a].append(r_squared(z, w, b))
-        return pd.DataFrame({group: pdf[group].iloc[0], "alpha": [a for _, a in grid], "l1_ratio": [r for r, _ in grid],
-                             "cv_r2": [float(np.mean(scores[pair])) for pair in grid]})
+        means = [float(np.mean(scores[pair])) for pair in grid]
+        top = int(np.nanargmax(means))
+        w, b = solve(whole, grid[top][1], grid[top][0], SEARCH_TOLERANCE)
+        return pd.DataFrame({
+            group: pdf[group].iloc[0], "alpha": [a for _, a in grid], "l1_ratio": [r for r, _ in grid], "cv_r2": means,
+            "best": [i == top for i in range(len(grid))],
+            "coefficients": [w.tolist() if i == top else None for i in range(len(grid))],
+            "intercept": [b if i == top else None for i in range(len(grid))]})
 
     kind = train.schema[group].dataType.simpleString()
-    scored = sums.groupBy(group).applyInPandas(score, f"{group} {kind}, alpha double, l1_ratio double, cv_r2 double")
-    scored = stage(scored, "grid-scores")
-    order = {pair: i for i, pair in enumerate(grid)}  # ties go to the first pair of the grid
-    place = F.element_at(F.create_map(*[x for (r, a), i in order.items() for x in (F.lit(f"{r}/{a}"), F.lit(i))]),
-                         F.concat_ws("/", F.col("l1_ratio").cast("string"), F.col("alpha").cast("string")))
-    top = scored.groupBy(group).agg(F.max_by(F.struct("alpha", "l1_ratio"), F.struct("cv_r2", -place)).alias("top"))
-
-    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = sum(square(part) for _, part in pdf.groupby(fold))
-        w, b = solve(whole, pdf["alpha"].iloc[0], pdf["l1_ratio"].iloc[0], 1e-6)
-        return pd.DataFrame({group: pdf[group].iloc[:1], "alpha": pdf["alpha"].iloc[:1], "l1_ratio": pdf["l1_ratio"].iloc[:1],
-                             "coefficients": [w.tolist()], "intercept": [b]})
-
-    best = sums.join(top.select(group, "top.*"), group).groupBy(group).applyInPandas(
-        refit, f"{group} {kind}, alpha double, l1_ratio double, coefficients array<double>, intercept double")
-    best = stage(best, "grid-best").withColumn("best", F.lit(True))
-    return scored.join(best, [group, "alpha", "l1_ratio"], "left").withColumn("best", F.coalesce("best", F.lit(False)))
+    return sums.groupBy(group).applyInPandas(
+        search, f"{group} {kind}, alpha double, l1_ratio double, cv_r2 double, best boolean, "
+                "coefficients array<double>, intercept double")
