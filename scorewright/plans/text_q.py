@@ -258,7 +258,7 @@ def q_embedding_similarity(spark, sf_dir):
     return rounded(textfeat.embedding_similarity(load(spark, sf_dir, "embeddings")))
 
 
-@query("annotate_batches", f"""WITH {E} SELECT id, CAST(len({S.word_tokens('text')}) AS BIGINT) AS n_tokens FROM essays""")
+@query("annotate_batches", f"""WITH {E} SELECT id, CAST(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS BIGINT) AS n_letters FROM essays""")
 def q_annotate_batches(spark, sf_dir):
-    out = A.annotate_batches(_e(spark, sf_dir))
-    return out.select("id", F.size("tokens").cast("bigint").alias("n_tokens"))
+    out = A.annotate_batches(_e(spark, sf_dir), A.count_letters, out="letters")
+    return out.select("id", F.col("letters")[0].cast("bigint").alias("n_letters"))

@@ -32,12 +32,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Session setting with which a caller may ask for that many partitions of the essays' texts (unset: as read).
-INPUT_PARTITIONS = "scorewright.input.partitions"
+INPUT_PARTITIONS = "spark.scorewright.input.partitions"
 
 
 def as_asked(df: DataFrame) -> DataFrame:
     """Tables are read in the splits of their files.  A caller whose few files hold one row group each
-    may set ``scorewright.input.partitions``; nothing is moved otherwise, whatever the sizes."""
+    may set ``spark.scorewright.input.partitions``; nothing is moved otherwise, whatever the sizes."""
     wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
     return df.repartition(int(wanted)) if wanted else df
 
