@@ -49,25 +49,46 @@ def first_holders(strings: list[bytes], least: np.ndarray, width: int):
     whole = np.zeros(len(at), np.uint64)
     for j in range(width):
         whole = whole * np.uint64(0x9E3779B97F4A7C15) + h[at + j]
-    holder = least[owner]
-    first = holder.copy()
+    first = least[owner]
     order = np.argsort(whole, kind="stable")
-    # runs of equal hashes: compare the windows themselves
     equal = whole[order][1:] == whole[order][:-1]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], equal.astype(np.int8), [0]))))
+    del whole, h
     left, right = starts[at], ends[at + width - 1]
-    for a, b in zip(edge[::2].tolist(), (edge[1::2] + 1).tolist()):
-        run = order[a:b].tolist()
-        texts = [data[left[i]:right[i]] for i in run]
-        if texts.count(texts[0]) == len(texts):
-            first[run] = holder[run].min()
-        else:
-            for t in set(texts):
-                alike = [i for i, x in zip(run, texts) if x == t]
-                first[alike] = holder[alike].min()
+    sure = equal.copy()
+    sure[equal] = same_bytes(data, left, right, order[:-1][equal], order[1:][equal])
+    if (sure == equal).all():
+        # runs of one window each: the smallest holder goes to all its places
+        run = np.concatenate(([True], ~equal)) if len(order) else np.zeros(0, bool)
+        places = np.flatnonzero(run)
+        if len(places):
+            low = np.minimum.reduceat(first[order], places)
+            first[order] = low[np.cumsum(run) - 1]
+    else:  # two windows share a hash: group by the windows themselves
+        smallest: dict[bytes, int] = {}
+        texts = [data[a:b] for a, b in zip(left.tolist(), right.tolist())]
+        for t, d in zip(texts, first.tolist()):
+            smallest[t] = min(smallest.get(t, d), d)
+        first = np.array([smallest[t] for t in texts], np.int64)
     return first, begin
 
 
+def same_bytes(data: bytes, left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the stretches left..right number a[i] and b[i] of ``data`` are equal, eight bytes at a time."""
+    loads = superkmers._loads(data + bytes(8))
+    size = right[a] - left[a]
+    same = size == right[b] - left[b]
+    open_ = np.flatnonzero(same)
+    done = 0
+    while len(open_):
+        rest = size[open_] - done
+        spare = ((8 - np.minimum(rest, 8)) * 8).astype(np.uint64)
+        alike = (loads[left[a[open_]] + done] << spare) == (loads[left[b[open_]] + done] << spare)
+        same[open_[~alike]] = False
+        open_ = open_[alike & (rest > 8)]
+        done += 8
+    return same
+
+
 def judge(width: int):
     def spans_of(strings, mins, docs, keys, starts, copies):
         names: dict[bytes, int] = {}
@@ -75,12 +96,17 @@ def judge(width: int):
         least = np.full(len(names), np.iinfo(np.int64).max)
         np.minimum.at(least, which, docs)
         first, begin = first_holders(list(names), least, width)
-        out = []
-        for w, doc, key, start in zip(which.tolist(), docs.tolist(), keys.tolist(), starts.tolist()):
-            flags = first[begin[w]:begin[w + 1]] < doc
-            if flags.any():
-                out += [(doc, key, start + a, start + b) for a, b in runs(flags, width)]
-        return list(zip(*out)) or [[], [], [], []]
+        windows = np.diff(begin)
+        # larger documents than a string's smallest lose all of it, the smallest itself what others held before
+        late = np.flatnonzero(docs > least[which])
+        out = [docs[late], keys[late], starts[late], starts[late] + windows[which[late]] + width - 1]
+        older = first < np.repeat(least, windows)
+        some = np.logical_or.reduceat(older, begin[:-1]) if len(older) else np.zeros(len(names), bool)
+        rows = []
+        for i in np.flatnonzero((docs == least[which]) & some[which]).tolist():
+            w = which[i]
+            rows += [(docs[i], keys[i], starts[i] + a, starts[i] + b) for a, b in runs(older[begin[w]:begin[w + 1]], width)]
+        return [np.concatenate((c, np.array(r, np.int64))) for c, r in zip(out, zip(*rows) if rows else [[]] * 4)]
 
     return spans_of
 

@@ -32,7 +32,7 @@ from scorewright.llm.common import keyed, stage
 #: Documents in the sample that tells widespread pieces, the share of it that makes a piece one, most pieces kept.
 SAMPLE, WIDESPREAD, MOST = 1000, 0.01, 100_000
 #: Packed bytes that a bucket should hold, bytes of text a task packs at a time, strings a task remembers.
-BUCKET, FLUSH, KNOWN = 24 << 20, 4 << 20, 100_000
+BUCKET, FLUSH, KNOWN = 8 << 20, 4 << 20, 100_000
 SENT = "bucket int, packed binary, doc_id long, key long, start int, stop int"
 SPANS = "doc_id long, key long, start int, stop int"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -228,9 +228,12 @@ def spans(docs: DataFrame, tokens: Windows, settle: Callable, judge: Callable, n
                 least[s], extent[s] = m, w + tokens.width - 1
             resolved, by_bucket = [], {}
             for s, entries in groups.items():
+                m = least[s]
+                if len(entries) == 1 and s not in known:  # nothing to settle here
+                    by_bucket.setdefault((m ^ (m >> 32)) % buckets, []).append((m, s, *entries[0], 1))
+                    continue
                 repeats, rest, copies = settle(s, entries, known)
                 resolved += [(d, k, a, a + extent[s]) for d, k, a in repeats]
-                m = least[s]
                 for entry in rest:
                     by_bucket.setdefault((m ^ (m >> 32)) % buckets, []).append((m, s, *entry, copies))
             labels.clear()
