@@ -68,7 +68,8 @@ def repeated_lines(docs: DataFrame, min_run: int = 3, k: int = 2, id_col: str =
     hashed = rows.select("doc_id", "key", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"),
                          F.transform(lines, lambda x: F.xxhash64(F.reverse(x), F.lit(1))).alias("h2"))
     starts, _ = stage(repeated_runs(hashed, min_run, k), "line-repeats")
-    found = rows.join(starts, ["doc_id", "key"], "left").select("doc_id", lines.alias("lines"), "starts")
+    # one plan at every size: the repeats grow with the input, so they are never broadcast
+    found = rows.join(starts.hint("merge"), ["doc_id", "key"], "left").select("doc_id", lines.alias("lines"), "starts")
     s, n = F.col("starts"), F.size("lines")
     # kept: the lines between the end of one repeat and the start of the next
     left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(s)), lambda j: F.slice(
