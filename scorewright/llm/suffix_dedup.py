@@ -30,12 +30,29 @@ from scorewright.llm.superkmers import Windows, merged, runs, with_spans
 CHUNK = 1 << 19
 
 
+def _key(*columns: np.ndarray) -> np.ndarray | None:
+    """The columns packed into one integer that sorts like them, if they fit."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 62:
+        return None
+    key = columns[0].astype(np.int64)
+    for c, n in zip(columns[1:], bits[1:]):
+        key = (key << n) | c
+    return key
+
+
+def _order(*columns: np.ndarray) -> np.ndarray:
+    key = _key(*columns)
+    return np.lexsort(columns[::-1]) if key is None else np.argsort(key)
+
+
 def _names(*columns: np.ndarray) -> np.ndarray:
     """Ranks (from 1) of the rows of some integer columns; equal rows get equal ranks."""
-    order = np.lexsort(columns[::-1])
+    order = _order(*columns)
     change = np.zeros(len(order), bool)
     for c in columns:
-        change[1:] |= c[order][1:] != c[order][:-1]
+        own = c[order]
+        change[1:] |= own[1:] != own[:-1]
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(change) + 1
     return out
@@ -60,7 +77,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     # the rest: first symbol, then the rank of the sampled suffix behind it
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
+    rest = rest[_order(t[rest], rank[rest + 1])]
     ordered = sample[order]
     ordered = ordered[ordered < n]
     # merge: how many sampled suffixes stand before each of the rest
@@ -68,7 +85,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     for residue, depth in ((1, 1), (2, 2)):
         other = ordered[ordered % 3 == residue]
         both = np.concatenate((rest, other))
-        key = _names(*(t[both + d] for d in range(depth)), rank[both + depth])
+        columns = (*(t[both + d] for d in range(depth)), rank[both + depth])
+        key = _key(*columns)  # both parts are in this order already
+        key = _names(*columns) if key is None else key
         ahead += np.searchsorted(key[len(rest):], key[:len(rest)])
     out = np.empty(n, np.int64)
     place = ahead + np.arange(len(rest))
