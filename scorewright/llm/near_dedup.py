@@ -265,7 +265,8 @@ def verify(pairs: DataFrame, texts: DataFrame, rarity, threshold: float) -> Data
                         F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"),
                         F.pmod(F.xxhash64("a", "b"), parts).alias("part"))
     links, path2 = stage(links, "near-links")
-    needed = degree.select(F.col("node").alias("doc_id"))
+    # one plan at every size: the paired documents grow with the input, so they are never broadcast
+    needed = degree.select(F.col("node").alias("doc_id")).hint("merge")
     texts, path3 = stage(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")),
                          "near-texts")
     leaves = links.join(texts.withColumnsRenamed({"doc_id": "leaf", "text": "leaf_text"}), "leaf")
