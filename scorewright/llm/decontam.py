@@ -89,8 +89,35 @@ def patterns_of(benchmark: DataFrame, window: int, item_col: str = "item_id", te
         F.collect_set("item").alias("items"))
 
 
-def _hits(rows: DataFrame, block: DataFrame) -> DataFrame:
-    """Occurrences in every row of one bounded block of patterns."""
+def _judged(occurrences) -> dict[str, list]:
+    """Merge the occurrences of rows (doc, words, starts, ends, items) to word spans and judge them."""
+    out: dict[str, list] = {k: [] for k in _JUDGED}
+    for doc, n, starts, ends, items in occurrences:
+        spans: list[list[int]] = []
+        for s, e in sorted(zip(starts, ends)):
+            if spans and s <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], e)
+            else:
+                spans.append([s, e])
+        hit = sum(e - s for s, e in spans)
+        names = sorted(set(items))
+        for k, v in zip(_JUDGED, (doc, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(),
+                                  hit > 0 and 20 * hit >= n, spans)):
+            out[k].append(v)
+    return out
+
+
+_JUDGED = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(),
+           "items_sha256": pa.string(), "contaminated": pa.bool_(), "spans": pa.list_(pa.list_(pa.int32()))}
+RESULT = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
+          "spans array<array<int>>")
+_TYPES = {"doc_id": pa.int64(), "key": pa.int64(), "n_words": pa.int64(), "starts": pa.list_(pa.int32()),
+          "ends": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
+
+
+def _searcher(rows: DataFrame, block: DataFrame, alone: bool):
+    """A function over batches of rows that finds the occurrences of one bounded block of patterns;
+    ``alone``: there is no other block, so the rows are judged at once."""
     found = {tuple(bytes(r["pattern"]).split()): r["items"] for r in block.collect()}
     shared = rows.sparkSession.sparkContext.broadcast(found)
 
@@ -103,34 +130,19 @@ def _hits(rows: DataFrame, block: DataFrame) -> DataFrame:
                 got = list(machine.search(words))
                 out.append((doc, key, len(words), [g[0] for g in got], [g[1] for g in got],
                             sorted({i for g in got for i in machine.items[g[2]]})))
-            types = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                             names=["doc_id", "key", "n_words", "starts", "ends", "items"])
+            if alone:
+                judged = _judged((d, n, s, e, i) for d, _, n, s, e, i in out)
+                yield pa.RecordBatch.from_pydict({k: pa.array(judged[k], t) for k, t in _JUDGED.items()})
+            else:
+                yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip(_TYPES.items(), zip(*out))})
 
-    return rows.mapInArrow(search, HITS)
+    return search
 
 
 def _judge(batches):
-    """Merge the occurrences of a row to word spans and judge it."""
     for batch in batches:
-        out = {k: [] for k in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")}
-        for doc, n, starts, ends, items in zip(*(batch[c].to_pylist() for c in (
-                "doc_id", "n_words", "starts", "ends", "items"))):
-            spans: list[list[int]] = []
-            for s, e in sorted(zip(starts, ends)):
-                if spans and s <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], e)
-                else:
-                    spans.append([s, e])
-            hit = sum(e - s for s, e in spans)
-            names = sorted(set(items))
-            for k, v in (("doc_id", doc), ("n_words", n), ("n_hit", hit), ("n_items", len(names)),
-                         ("items_sha256", hashlib.sha256(",".join(names).encode()).hexdigest()),
-                         ("contaminated", hit > 0 and 20 * hit >= n), ("spans", spans)):
-                out[k].append(v)
-        yield pa.RecordBatch.from_pydict({
-            k: pa.array(v, {"items_sha256": pa.string(), "contaminated": pa.bool_(),
-                            "spans": pa.list_(pa.list_(pa.int32()))}.get(k, pa.int64())) for k, v in out.items()})
+        judged = _judged(zip(*(batch[c].to_pylist() for c in ("doc_id", "n_words", "starts", "ends", "items"))))
+        yield pa.RecordBatch.from_pydict({k: pa.array(judged[k], t) for k, t in _JUDGED.items()})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, patterns_per_block: int = 200_000,
@@ -140,15 +152,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, patte
     patterns = patterns_of(benchmark, window)
     blocks = patterns.count() // patterns_per_block + 1
     part = F.pmod(F.xxhash64("pattern"), F.lit(blocks))
-    hits = [_hits(rows, patterns.filter(part == b)) for b in range(blocks)]
-    found = hits[0]
-    if blocks > 1:
-        for more in hits[1:]:
-            found = found.unionByName(more)
-        # every row came once from each block of patterns: gather them, and give back rows repeated in the input
-        found = found.groupBy("doc_id", "key", "n_words").agg(
-            *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")), F.count("*").alias("_n"))
-        found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_n") / blocks).cast("int"))))
-    return found.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(
-        _judge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-                "spans array<array<int>>").withColumn("doc_id", public_id())
+    if blocks == 1:
+        return rows.mapInArrow(_searcher(rows, patterns, True), RESULT).withColumn("doc_id", public_id())
+    found = None
+    for b in range(blocks):
+        hits = rows.mapInArrow(_searcher(rows, patterns.filter(part == b), False), HITS)
+        found = hits if found is None else found.unionByName(hits)
+    # every row came once from each block of patterns: gather them, and give back rows repeated in the input
+    found = found.groupBy("doc_id", "key", "n_words").agg(
+        *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")), F.count("*").alias("_n"))
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_n") / blocks).cast("int"))))
+    return found.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(_judge, RESULT).withColumn(
+        "doc_id", public_id())

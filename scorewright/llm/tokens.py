@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Words kept in each of the memo's two generations (about 200 bytes each).
-MEMO = 450_000
+MEMO = 350_000
 _LINE = "\x02"  # stands for a line end in front of a word
 _MARKED = re.compile("(" + _LINE + r"?[a-zA-ZÀ-ÖØ-öø-ɏ]+)([^\w\s']+)").fullmatch  # a word, then marks: a border between
 _LONE = re.compile(r"(?:^|\W|_)[.,][ \n]").search  # a mark that may join what stands before it
