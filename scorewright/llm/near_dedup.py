@@ -11,11 +11,13 @@ weighted Jaccard similarity.  *Bands* of samples bring candidates together,
 *verification* computes the weighted Jaccard similarity of whole texts.
 
 Copies (equal shingled words) stand for one another before anything is paired.
-In a band's bucket each document meets the bucket's centre (most samples in
-common with the bucket's majority) and its nearest other members, not all of
-them; a bucket over ``LIMIT`` rows is first split by document and the centres of
-the parts meet again, so no task ever holds a whole hot bucket.  Verified links
-are joined to classes by passing on the smallest id.
+A first round joins what is easily joined: in a band's bucket each document meets
+the bucket's centre (most samples in common with the bucket's majority) and its
+nearest other members; a bucket over ``LIMIT`` rows is first split by document and
+the centres of the parts meet again, so no task ever holds a whole hot bucket.  The
+second round verifies every other pair of a bucket whose samples give hope, but for
+pairs that the first round has proven to be in one class.  Verified links are joined
+to classes by passing on the smallest id.
 
 Texts of one to four words are one shingle; texts without words are classes of
 their own; null text is a text without words; a null id sorts last; rows
@@ -250,6 +252,65 @@ def candidates(signed: DataFrame) -> DataFrame:
     return pairs
 
 
+def _places(batches):
+    """(band key, doc_id, label) rows of (doc_id, label, sig) rows."""
+    for batch in batches:
+        label = batch["label"]
+        for out in _bands([batch]):
+            yield pa.RecordBatch.from_pydict({"band": out["band"], "doc_id": out["doc_id"], "label": label})
+
+
+def _short(batches):
+    """(doc_id, short samples)."""
+    for batch in batches:
+        full = (np.frombuffer(x, np.uint64) for x in batch["sig"].to_pylist())
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "sig": pa.array(
+            [(x >> np.uint64(32)).astype("<u4").tobytes() for x in full], pa.binary())})
+
+
+def _cross(table):
+    """One shuffle group holds many blocks: all hopeful pairs of each block whose ends have different labels."""
+    block = table["block"].combine_chunks().dictionary_encode()
+    block = (block.combine_chunks() if isinstance(block, pa.ChunkedArray) else block).indices.to_numpy(zero_copy_only=False)
+    ids, labels = table["doc_id"].to_numpy(), table["label"].to_numpy()
+    sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(ids), -1)
+    order = np.argsort(block, kind="stable")
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for group in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        for start in range(0, len(group), 64):
+            some = group[start:start + 64]
+            alike = np.zeros((len(some), len(group)), np.int16)
+            for c in range(sigs.shape[1]):
+                alike += sigs[some, c][:, None] == sigs[group, c]
+            alike[(labels[some][:, None] == labels[group]) | (ids[some][:, None] >= ids[group])] = 0
+            i, j = np.nonzero(alike >= HOPE * sigs.shape[1])
+            left.append(ids[some[i]])
+            right.append(ids[group[j]])
+    return pa.table({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
+
+
+def remaining(signed: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """Distinct (a, b) pairs of a bucket that may be near copies, are not in one class yet and not in ``tried``."""
+    spark = signed.sparkSession
+    label = F.coalesce("label", "doc_id").alias("label")
+    labelled, path = stage(signed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                           .select("doc_id", label, "sig"), "near-labelled")
+    places = labelled.mapInArrow(_places, "band long, doc_id long, label long")
+    mixed, path2 = stage(places.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"),
+                                                    F.max("label").alias("high"))
+                         .filter("low != high").select("band", "n"), "near-mixed")
+    # one plan at every size: neither the buckets nor the samples are ever broadcast
+    places, path3 = stage(places.join(mixed.hint("merge"), "band"), "near-places")
+    blocks = places.filter(F.col("n") <= LIMIT).select(F.col("band").cast("string").alias("block"), "doc_id", "label")
+    rows = blocks.join(labelled.mapInArrow(_short, "doc_id long, sig binary").hint("merge"), "doc_id")
+    groups = blocks.count() // (5 * LIMIT) + 1
+    found = (rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("g")
+             .applyInArrow(_cross, "a long, b long"))
+    pairs, _ = stage(found.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-remaining")
+    release(spark, path, path2, path3)
+    return pairs
+
+
 def verify(pairs: DataFrame, texts: DataFrame, rarity, threshold: float) -> DataFrame:
     """The pairs whose weighted Jaccard similarity reaches ``threshold``.
 
@@ -330,9 +391,12 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
         F.min(F.struct("doc_id", "sig")).alias("m"), F.count("*").alias("n"))
     members, member_path = stage(members.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"), "n"),
                                  "near-members")
-    pairs = candidates(members.select(F.col("rep").alias("doc_id"), "sig"))
+    signatures_of = members.select(F.col("rep").alias("doc_id"), "sig")
+    pairs = candidates(signatures_of)
     links = verify(pairs, rows, rarity, threshold)
     labels = classes(links)
+    more = verify(remaining(signatures_of, labels, pairs), rows, rarity, threshold)
+    labels = classes(links.unionByName(more))
     reps = members.select("digest", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     reps, _ = stage(reps.select("digest", F.coalesce("label", "rep").alias("class"), "n"), "near-classes")
     slim, _ = stage(signed.select("doc_id", "digest"), "near-digests")

@@ -286,6 +286,30 @@ def test_op2_star_of_near_copies(spark, monkeypatch):
     assert got == jaccard_classes(docs)
 
 
+def _families(between, members, tag):
+    """Two families of near copies that differ in ``between`` words; one member of each, far from its own, has words in common."""
+    base = [f"{tag}{i}" for i in range(400)]
+    other = [f"o{i}" if i % 10 == 0 and 0 < i <= 10 * between else w for i, w in enumerate(base)]
+    docs = []
+    for family, text in enumerate((base, other)):
+        for i in range(members):
+            own = list(text)
+            own[300 + 20 * family + i] = f"x{family}y{i}"
+            if i == members - 1:
+                own = [f"z{at}" if at in (200, 210, 220) else w for at, w in enumerate(text)]
+            docs.append((100 * family + i, " ".join(own)))
+    return docs
+
+
+def test_op2_one_link_between_dense_families(spark):
+    """Every hopeful pair of a bucket is verified: two families of near copies may hang together by one link."""
+    docs = _families(8, 10, "d")
+    want = jaccard_classes(docs)
+    assert {c for _, c in want} == {0} and len({c for _, c in jaccard_classes(docs[:9] + docs[10:])}) == 2
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in near_dedup.near_dedup(frame).collect()} == want
+
+
 def test_op2_samples_agree_as_often_as_texts_overlap():
     variates = near_dedup._variates()
     rng = np.random.default_rng(3)
