@@ -16,8 +16,10 @@ the bucket's centre (most samples in common with the bucket's majority) and its
 nearest other members; a bucket over ``LIMIT`` rows is first split by document and
 the centres of the parts meet again, so no task ever holds a whole hot bucket.  The
 second round verifies every other pair of a bucket whose samples give hope, but for
-pairs that the first round has proven to be in one class.  Verified links are joined
-to classes by passing on the smallest id.
+pairs that the first round has proven to be in one class; a bucket over ``LIMIT`` rows
+is dealt into parts, a large class into parts of its own, and every part meets every
+other part that is not of its own class.  Verified links are joined to classes by
+passing on the smallest id.
 
 Texts of one to four words are one shingle; texts without words are classes of
 their own; null text is a text without words; a null id sorts last; rows
@@ -269,10 +271,11 @@ def _short(batches):
 
 
 def _cross(table):
-    """One shuffle group holds many blocks: all hopeful pairs of each block whose ends have different labels."""
+    """One shuffle group holds many blocks: all hopeful pairs of each block whose ends have different labels
+    (and come from different sides, unless the block has but one, 2)."""
     block = table["block"].combine_chunks().dictionary_encode()
     block = (block.combine_chunks() if isinstance(block, pa.ChunkedArray) else block).indices.to_numpy(zero_copy_only=False)
-    ids, labels = table["doc_id"].to_numpy(), table["label"].to_numpy()
+    ids, labels, side = (table[c].to_numpy() for c in ("doc_id", "label", "side"))
     sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(ids), -1)
     order = np.argsort(block, kind="stable")
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -283,12 +286,42 @@ def _cross(table):
             for c in range(sigs.shape[1]):
                 alike += sigs[some, c][:, None] == sigs[group, c]
             alike[(labels[some][:, None] == labels[group]) | (ids[some][:, None] >= ids[group])] = 0
+            alike[(side[some][:, None] == side[group]) & (side[group] != 2)] = 0
             i, j = np.nonzero(alike >= HOPE * sigs.shape[1])
             left.append(ids[some[i]])
             right.append(ids[group[j]])
     return pa.table({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
 
 
+def blocks_of(places: DataFrame) -> DataFrame:
+    """(block, side, doc_id, label): the rows of (band, doc_id, label, n) in blocks in which all pairs of a bucket meet.
+
+    A bucket of at most ``LIMIT`` rows is a block.  The rows of a larger one are dealt into parts, each class of
+    more than ``LIMIT`` into its own, and two parts make a block, but not two of one such class."""
+    small = places.filter(F.col("n") <= LIMIT).select(F.col("band").cast("string").alias("block"), F.lit(2).alias("side"),
+                                                      "doc_id", "label")
+    hot = places.filter(F.col("n") > LIMIT)
+    counts = hot.groupBy("band", "label").agg(F.count("*").alias("m"))
+    own = F.when(F.col("m") > LIMIT, F.col("label"))
+    large = counts.select("band", "label", own.alias("own")).filter("own is not null")
+    parts = (counts.groupBy("band", own.alias("own")).agg(F.ceil(F.sum("m") / LIMIT).alias("parts"))
+             .select("band", "own", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    one, two = (parts.select("band", F.col("own").alias(f"own{i}"), F.col("part").alias(f"part{i}"),
+                             F.concat_ws(":", "own", "part").alias(f"name{i}")) for i in (1, 2))
+    meet = one.join(two, "band").filter("name1 <= name2 AND NOT (own1 is not null AND own1 <=> own2)")
+    block = F.concat_ws("|", "band", "name1", "name2").alias("block")
+    both = F.expr("name1 = name2")
+    sides = meet.select("band", block, F.col("name1").alias("name"), F.when(both, 2).otherwise(0).alias("side")).unionByName(
+        meet.filter(~both).select("band", block, F.col("name2").alias("name"), F.lit(1).alias("side")))
+    number = parts.groupBy("band", "own").agg(F.first("parts").alias("parts"))
+    hot = (hot.join(F.broadcast(large), ["band", "label"], "left")
+           .join(F.broadcast(number.withColumnsRenamed({"band": "band_", "own": "own_"})),
+                 (F.col("band") == F.col("band_")) & F.col("own").eqNullSafe(F.col("own_"))))
+    name = F.concat_ws(":", "own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    hot = hot.select("band", name.alias("name"), "doc_id", "label").join(sides, ["band", "name"])
+    return small.unionByName(hot.select("block", "side", "doc_id", "label"))
+
+
 def remaining(signed: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
     """Distinct (a, b) pairs of a bucket that may be near copies, are not in one class yet and not in ``tried``."""
     spark = signed.sparkSession
@@ -301,13 +334,13 @@ def remaining(signed: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFra
                          .filter("low != high").select("band", "n"), "near-mixed")
     # one plan at every size: neither the buckets nor the samples are ever broadcast
     places, path3 = stage(places.join(mixed.hint("merge"), "band"), "near-places")
-    blocks = places.filter(F.col("n") <= LIMIT).select(F.col("band").cast("string").alias("block"), "doc_id", "label")
+    blocks, path4 = stage(blocks_of(places), "near-blocks")
     rows = blocks.join(labelled.mapInArrow(_short, "doc_id long, sig binary").hint("merge"), "doc_id")
     groups = blocks.count() // (5 * LIMIT) + 1
     found = (rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("g")
              .applyInArrow(_cross, "a long, b long"))
     pairs, _ = stage(found.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-remaining")
-    release(spark, path, path2, path3)
+    release(spark, path, path2, path3, path4)
     return pairs
 
 

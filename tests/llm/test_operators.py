@@ -310,6 +310,28 @@ def test_op2_one_link_between_dense_families(spark):
     assert {(r["doc_id"], r["class_id"]) for r in near_dedup.near_dedup(frame).collect()} == want
 
 
+def test_op2_pairs_in_a_hot_template(spark, monkeypatch):
+    """Near copies among documents that share a template are found however large the bucket is."""
+    import random
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(0, 300, 6), 5):
+            own[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(own)))
+        if i < 100:
+            for at in rng.sample(range(3, 300, 6), 4):
+                own[at] = f"z{i}y{at}"
+            docs.append((1000 + i, " ".join(own)))
+    monkeypatch.setattr(near_dedup, "LIMIT", 8)
+    want = jaccard_classes(docs)
+    assert 100 < len({c for _, c in want}) <= 150
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in near_dedup.near_dedup(frame).collect()} == want
+
+
 def test_op2_samples_agree_as_often_as_texts_overlap():
     variates = near_dedup._variates()
     rng = np.random.default_rng(3)
