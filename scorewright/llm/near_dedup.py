@@ -61,7 +61,10 @@ def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data = b" ".join(words)
-    h = word_hashes(data, *word_places(np.frombuffer(data, np.uint8)))
+    starts, ends = word_places(np.frombuffer(data, np.uint8))
+    h = word_hashes(data, starts, ends)
+    for i in np.flatnonzero(ends - starts > 16):  # the hash above reads 16 bytes at most
+        h[i] = int.from_bytes(hashlib.blake2b(words[i], digest_size=8).digest(), "little")
     size = min(SHINGLE, len(h))
     out = h[:len(h) - size + 1].copy()
     for j in range(1, size):

@@ -332,6 +332,16 @@ def test_op2_pairs_in_a_hot_template(spark, monkeypatch):
     assert {(r["doc_id"], r["class_id"]) for r in near_dedup.near_dedup(frame).collect()} == want
 
 
+def test_op2_reads_whole_words():
+    """Long words that differ only in the middle are different, as in templated text without spaces."""
+    texts = [" ".join(f"начало{i:02}{tag}конец" for i in range(30)) for tag in ("один", "двое", "одно")]
+    runs = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(decontam.words_of, texts)]
+    sets = [set(near_dedup.shingles(decontam.words_of(t))[0].tolist()) for t in texts]
+    for a in range(3):
+        for b in range(3):
+            assert len(sets[a] & sets[b]) == len(runs[a] & runs[b])
+
+
 def test_op2_samples_agree_as_often_as_texts_overlap():
     variates = near_dedup._variates()
     rng = np.random.default_rng(3)
