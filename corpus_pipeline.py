@@ -4,29 +4,35 @@
 DataFrame.  Each result is written as Parquet and read again as the next stage's ``docs``.
 All stages but the last return the columns of ``documents``.
 
-A stage that decides per document joins its decisions back by doc_id.  Rows repeated
-under one id share one decision; the exact stage keeps one row of those with equal
-texts.  Rows without an id count as one id that sorts last.
+A stage that decides per document joins its decisions back by doc_id and a hash of the
+text, so no row goes for the fault of another under the same id or without one.  The
+exact stage keeps one row of those with equal texts.  Rows without an id sort last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import documents, stage
 from scorewright.llm.decontam import decontaminate
-from scorewright.llm.exact_dedup import exact_dedup
+from scorewright.llm.exact_dedup import exact_dedup, normalised
 from scorewright.llm.near_dedup import near_dedup
 from scorewright.llm.packing import pack
 from scorewright.llm.queries import documents_quality
 from scorewright.sources.tables import load
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` but for the ids in ``dropped`` (doc_id; null stands for rows without an id)."""
-    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def _without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """``docs`` but for the rows in ``dropped`` (doc_id, key); ``key`` tells the texts of rows with one id or none apart."""
+    gone = dropped.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
+    keyed = docs.withColumn("_key", key)
+    same = keyed["doc_id"].eqNullSafe(gone["_gone"]) & (keyed["_key"] == gone["_gone_key"])
+    return keyed.join(gone, same, "left_anti").drop("_key")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,24 +42,28 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact de-duplication: the smallest doc_id of equal texts stays, once."""
-    decided, _ = stage(exact_dedup(docs), "exact-decisions")
-    again = decided.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = _without(docs, decided.filter("NOT kept"))
-    repeated = kept.join(again.withColumnRenamed("doc_id", "_again"), kept["doc_id"].eqNullSafe(F.col("_again")), "left_semi")
-    return _without(kept, again).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    decided, _ = stage(exact_dedup(docs).withColumnRenamed("text_sha256", "key"), "exact-decisions")
+    digest = F.sha2(normalised(F.coalesce("text", F.lit(""))), 256)
+    again = decided.filter("kept").groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key")
+    kept = _without(docs, decided.filter("NOT kept"), digest)
+    keyed, other = kept.withColumn("_key", digest), again.withColumnsRenamed({"doc_id": "_again", "key": "_again_key"})
+    repeated = keyed.join(other, keyed["doc_id"].eqNullSafe(F.col("_again")) & (F.col("_key") == F.col("_again_key")),
+                          "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return _without(kept, again, digest).unionByName(repeated)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-duplicates: the smallest doc_id of each class stays."""
-    decided, _ = stage(near_dedup(docs).filter("NOT kept").select("doc_id"), "near-decisions")
-    return _without(docs, decided)
+    decided, _ = stage(near_dedup(docs, with_key=True).filter("NOT kept").select("doc_id", "key"), "near-decisions")
+    return _without(docs, decided, _text_key())
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: documents with at least a twentieth of their words in benchmark windows go."""
-    found = decontaminate(docs, load(spark, sf_dir, "benchmark"))
-    decided, _ = stage(found.filter("contaminated").select("doc_id"), "benchmark-decisions")
-    return _without(docs, decided)
+    # the decision is the text's, so its hash takes the place of the id
+    found = decontaminate(docs.select(_text_key().alias("doc_id"), "text"), load(spark, sf_dir, "benchmark"))
+    decided, _ = stage(found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "benchmark-decisions")
+    return docs.join(decided, _text_key().eqNullSafe(decided["_gone"]), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

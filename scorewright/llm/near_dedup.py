@@ -19,11 +19,13 @@ second round verifies every other pair of a bucket whose samples give hope, but
 pairs that the first round has proven to be in one class; a bucket over ``LIMIT`` rows
 is dealt into parts, a large class into parts of its own, and every part meets every
 other part that is not of its own class.  Verified links are joined to classes by
-passing on the smallest id.
+passing on the smallest number; members (the copies of one digest) are numbered, so rows
+under one id or without any are told apart by their texts.
 
 Texts of one to four words are one shingle; texts without words are classes of
-their own; null text is a text without words; a null id sorts last; rows
-repeated under one id are one member; other columns are ignored.
+their own; null text is a text without words; a null id sorts last; of rows under
+one id the one with the smaller hash of its text comes first, and equal texts under one
+id are one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +118,7 @@ def rarities(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, rarity) -> DataFrame:
-    """doc_id, digest of the words (null without words), samples."""
+    """doc_id, key, digest of the words (null without words), samples."""
     def sign(batches):
         variates = _variates()
         for batch in batches:
@@ -129,10 +131,10 @@ def signatures(rows: DataFrame, rarity) -> DataFrame:
                     sig.append(sample(h, weighted(h, tf, rarity.value), variates).tobytes())
                 else:
                     sig.append(None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "digest": pa.array(digest, pa.binary()),
-                                              "sig": pa.array(sig, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "key": batch["key"],
+                                              "digest": pa.array(digest, pa.binary()), "sig": pa.array(sig, pa.binary())})
 
-    return rows.select("doc_id", "text").mapInArrow(sign, "doc_id long, digest binary, sig binary")
+    return rows.select("doc_id", "key", "text").mapInArrow(sign, "doc_id long, key long, digest binary, sig binary")
 
 
 def _bands(batches):
@@ -347,8 +349,8 @@ def remaining(signed: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFra
     return pairs
 
 
-def verify(pairs: DataFrame, texts: DataFrame, rarity, threshold: float) -> DataFrame:
-    """The pairs whose weighted Jaccard similarity reaches ``threshold``.
+def verify(pairs: DataFrame, texts: DataFrame, members: DataFrame, rarity, threshold: float) -> DataFrame:
+    """The pairs of ``members`` (node, rep, rep_key) whose weighted Jaccard similarity reaches ``threshold``.
 
     The end with more links is the hub.  Hubs are spread over parts of at most about ``FAN``
     links, so neither a task nor a text's copies grow with a hub's links."""
@@ -363,12 +365,13 @@ def verify(pairs: DataFrame, texts: DataFrame, rarity, threshold: float) -> Data
                         F.pmod(F.xxhash64("a", "b"), parts).alias("part"))
     links, path2 = stage(links, "near-links")
     # one plan at every size: the paired documents grow with the input, so they are never broadcast
-    needed = degree.select(F.col("node").alias("doc_id")).hint("merge")
-    texts, path3 = stage(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")),
-                         "near-texts")
-    leaves = links.join(texts.withColumnsRenamed({"doc_id": "leaf", "text": "leaf_text"}), "leaf")
+    needed, path4 = stage(members.join(degree.hint("merge"), "node").select(
+        "node", F.col("rep").alias("doc_id"), F.col("rep_key").alias("key")), "near-needed")
+    texts, path3 = stage(texts.join(needed.hint("merge"), ["doc_id", "key"]).groupBy("doc_id", "key").agg(
+        F.min("node").alias("node"), F.min("text").alias("text")).select("node", "text"), "near-texts")
+    leaves = links.join(texts.withColumnsRenamed({"node": "leaf", "text": "leaf_text"}), "leaf")
     hubs = links.select("hub", "part").distinct().join(
-        texts.withColumnsRenamed({"doc_id": "hub", "text": "hub_text"}), "hub")
+        texts.withColumnsRenamed({"node": "hub", "text": "hub_text"}), "hub")
 
     def compare(batches):
         name, vector = None, None
@@ -386,7 +389,7 @@ def verify(pairs: DataFrame, texts: DataFrame, rarity, threshold: float) -> Data
     links = (leaves.join(hubs, ["hub", "part"]).select("hub", "leaf", "hub_text", "leaf_text")
              .mapInArrow(compare, "a long, b long, similarity double").filter(F.col("similarity") >= threshold))
     links, _ = stage(links, "near-verified")
-    release(texts.sparkSession, path, path2, path3)
+    release(texts.sparkSession, path, path2, path3, path4)
     return links
 
 
@@ -416,28 +419,38 @@ def classes(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its class (the smallest id in it), whether it is the one that stays, its copies."""
-    rows = keyed(docs, id_col, text_col)
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+               with_key: bool = False) -> DataFrame:
+    """One row per document: its class (the smallest id in it), whether it is the one that stays, its copies.
+
+    ``with_key`` adds the hash of its text, which tells rows under one id or without any apart."""
+    rows = keyed(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     spark = rows.sparkSession
     rarity = spark.sparkContext.broadcast(rarities(rows))
     signed, path = stage(signatures(rows, rarity), "near-signatures")
     total = signed.count()
     members = signed.filter("digest is not null").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "sig")).alias("m"), F.count("*").alias("n"))
-    members, member_path = stage(members.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"), "n"),
-                                 "near-members")
-    signatures_of = members.select(F.col("rep").alias("doc_id"), "sig")
+        F.min(F.struct("doc_id", "key", "sig")).alias("m"), F.count("*").alias("n"))
+    # written at once: the numbers do not change when a task runs again
+    members, member_path = stage(members.select(
+        F.monotonically_increasing_id().alias("node"), "digest", F.col("m.doc_id").alias("rep"),
+        F.col("m.key").alias("rep_key"), F.col("m.sig").alias("sig"), "n"), "near-members")
+    signatures_of = members.select(F.col("node").alias("doc_id"), "sig")
     pairs = candidates(signatures_of)
-    links = verify(pairs, rows, rarity, threshold)
+    links = verify(pairs, rows, members, rarity, threshold)
     labels = classes(links)
-    more = verify(remaining(signatures_of, labels, pairs), rows, rarity, threshold)
+    more = verify(remaining(signatures_of, labels, pairs), rows, members, rarity, threshold)
     labels = classes(links.unionByName(more))
-    reps = members.select("digest", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    reps, _ = stage(reps.select("digest", F.coalesce("label", "rep").alias("class"), "n"), "near-classes")
-    slim, _ = stage(signed.select("doc_id", "digest"), "near-digests")
-    release(spark, path, member_path)
+    reps = members.select("node", "digest", "rep", "rep_key", "n").join(labels, "node", "left")
+    reps, rep_path = stage(reps.select("digest", F.coalesce("label", "node").alias("label"), "rep", "rep_key", "n"), "near-reps")
+    first = reps.groupBy("label").agg(F.min(F.struct("rep", "rep_key")).alias("first"), F.count("*").alias("size"))
+    first = first.select("label", F.col("first.rep").alias("class"), F.col("first.rep_key").alias("class_key"), "size")
+    reps, _ = stage(attach(reps.select("digest", "label", "n"), first, "label", "size", total)
+                    .select("digest", "class", "class_key", "n"), "near-classes")
+    slim, _ = stage(signed.select("doc_id", "key", "digest"), "near-digests")
+    release(spark, path, member_path, rep_path)
     out = attach(slim, reps, "digest", "n", total)
     own = F.coalesce("class", "doc_id")
-    return out.select(public_id(), F.nullif(own, F.lit((1 << 63) - 1)).alias("class_id"),
-                      (own == F.col("doc_id")).alias("kept"), F.coalesce("n", F.lit(1)).cast("long").alias("n_copies"))
+    kept = (own == F.col("doc_id")) & (F.coalesce("class_key", "key") == F.col("key"))
+    return out.select(public_id(), *(["key"] if with_key else []), F.nullif(own, F.lit((1 << 63) - 1)).alias("class_id"),
+                      kept.alias("kept"), F.coalesce("n", F.lit(1)).cast("long").alias("n_copies"))
