@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm import substring_dedup, suffix_dedup
+from scorewright.llm.alignment import align
 from scorewright.llm.common import documents
 from scorewright.llm.decontam import decontaminate
 from scorewright.llm.exact_dedup import exact_dedup
@@ -14,7 +15,9 @@ from scorewright.llm.line_dedup import repeated_lines
 from scorewright.llm.near_dedup import near_dedup
 from scorewright.llm.packing import pack
 from scorewright.llm.quality import quality
+from scorewright.llm.spelling import spelling_variants
 from scorewright.llm.token_records import token_records
+from scorewright.llm.toxicity import toxicity
 from scorewright.sources.tables import load
 
 QUERIES = {}
@@ -135,3 +138,47 @@ kept AS (SELECT x.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER
          FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+# crc32 from its definition: eight shifts of the reversed polynomial per byte value, one table step per UTF-8 byte
+ORACLES["op12_spelling_variants"] = r"""
+WITH t AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                       ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w
+         FROM documents),
+d AS (SELECT id, w, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten([CASE WHEN ord(x) < 128 THEN [ord(x)]
+                  ELSE [192 + (ord(x) >> 6), 128 + ord(x) % 64] END FOR x IN string_split(concat(id, ':', w), '')])),
+                  lambda c, x: xor(t[xor(c, x) % 256 + 1], c >> 8))) AS h
+           FROM d, t),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN concat(left(w, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v),
+cut AS (SELECT DISTINCT word, n, concat(left(word, p - 1), substr(word, p + 1)) AS c FROM x),
+hole AS (SELECT word, n, concat(left(word, p - 1), '_', substr(word, p + 1)) AS c FROM x),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM hole a JOIN hole b ON a.c = b.c AND a.word <> b.word
+          UNION ALL SELECT cut.word, v.word, v.n FROM cut JOIN v ON cut.c = v.word
+          UNION ALL SELECT v.word, cut.word, cut.n FROM cut JOIN v ON cut.c = v.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form,
+                 CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (WITH RECURSIVE w(word, here, n) AS (SELECT word, word, n FROM forms
+         UNION ALL SELECT w.word, f.form, f.form_n FROM w JOIN forms f ON w.here = f.word WHERE f.form IS NOT NULL)
+         SELECT word, arg_max(here, n) AS root FROM w GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN walk USING (word)"""
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(documents(spark, sf_dir), keep_groups=False)
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
