@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,10 @@ from scorewright.llm.tokens import ChunkEncoder, byte_alphabet, vocabulary_path
 FREQUENT = 500_000
 #: Distinct pairs that a counting task holds before it passes them on.
 HELD = 2_000_000
+#: Words whose ids a worker remembers.
+MEMO = 400_000
 _WIDTH = 4
+_ADJACENT = re.compile("^ |  | $").search
 
 
 def runs_of(a: bytes, b: bytes) -> list[tuple[int, int, int]]:
@@ -44,33 +49,37 @@ def runs_of(a: bytes, b: bytes) -> list[tuple[int, int, int]]:
 
     ``a`` and ``b`` are strictly rising token ends, packed ``_WIDTH`` bytes each; the last ones agree.
     """
-    n, m, i, j, found = len(a), len(b), 0, 0, []
-    w = _WIDTH
+    n, m, i, j, found, w = len(a), len(b), 0, 0, [], _WIDTH
+    one, other = memoryview(a).cast("I"), memoryview(b).cast("I")
     while i < n and j < m:
-        first, size = i, w
+        first, size = i, 4 * w
         while True:  # along the diagonal in doubling blocks
-            size = min(size, n - i, m - j)
-            if not size or a[i:i + size] != b[j:j + size]:
+            x, y = a[i:i + size], b[j:j + size]
+            if x != y:
                 break
             i, j, size = i + size, j + size, 2 * size
-        while size > w:  # halve the block that differs
-            half = size // w // 2 * w
-            if a[i:i + half] == b[j:j + half]:
-                i, j, size = i + half, j + half, size - half
-            else:
-                size = half
+            if i >= n or j >= m:
+                i, j = min(i, n), min(j, m)
+                break
+        if x != y:  # the lowest bit that differs is in the first end that does, or past the shorter block
+            least = min(len(x), len(y))
+            differ = int.from_bytes(x[:least], "little") ^ int.from_bytes(y[:least], "little")
+            same = ((differ & -differ).bit_length() - 1) // (8 * w) * w if differ else least
+            i, j = i + same, j + same
         if i > first:
             found.append((first // w, i // w, (j - i) // w))
         if i >= n or j >= m:
             break
-        x, y = int.from_bytes(a[i:i + w], "little"), int.from_bytes(b[j:j + w], "little")
+        p, q = i // w, j // w
+        x, y = one[p], other[q]
         while x != y:  # an irregular group: the one that ends first goes on
             if x < y:
-                i += w
-                x = int.from_bytes(a[i:i + w], "little")
+                p += 1
+                x = one[p]
             else:
-                j += w
-                y = int.from_bytes(b[j:j + w], "little")
+                q += 1
+                y = other[q]
+        i, j = p * w, q * w
     return found
 
 
@@ -101,7 +110,11 @@ class Vocabulary:
 
 
 class Aligner:
-    """Both tokenizers of one Python worker."""
+    """Both tokenizers of one Python worker.
+
+    Where no piece of the second vocabulary holds a space behind another character, a text without spaces side by
+    side or at its ends is encoded word by word, and a bounded memo knows the ids of the words.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -109,22 +122,44 @@ class Aligner:
         self.encoder_a.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.encoder_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = {c: b for b, c in byte_alphabet().items()}
-        spelt = [b""] * self.encoder_a.library.get_vocab_size(with_added_tokens=True)
-        for piece, i in self.encoder_a.library.get_vocab(with_added_tokens=True).items():
+        pieces = self.encoder_a.library.get_vocab(with_added_tokens=True)
+        spelt = [b""] * len(pieces)
+        for piece, i in pieces.items():
             spelt[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
         self.a = Vocabulary(spelt, b",", b"|")
-        pieces = map(self.encoder_b.id_to_piece, range(self.encoder_b.get_piece_size()))
+        pieces = [self.encoder_b.id_to_piece(i) for i in range(self.encoder_b.get_piece_size())]
         self.b = Vocabulary([bytes([int(p[3:5], 16)]) if self.encoder_b.is_byte(i) else p.replace("▁", " ").encode()
                              for i, p in enumerate(pieces)], b",", b";")
+        self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
         self.pairs = len(self.a.spelt) * len(self.b.spelt)
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, words) -> None:
+        """The second tokenizer's ids of the words that the memo does not know; none for a word that is spelt otherwise."""
+        fresh = set(words).difference(self.words)
+        if len(self.words) + len(fresh) > MEMO:
+            self.words, fresh = {}, set(words)
+        for word in fresh:
+            ids = self.encoder_b.encode(word)
+            good = b"".join(map(self.b.spelt.__getitem__, ids)) == (" " + word).encode()
+            self.words[word] = array("I", ids).tobytes() if good else b""
+
+    def _second(self, text: str, raw: bytes):
+        if not self.by_word or _ADJACENT(text):
+            ids = np.array(self.encoder_b.encode(text), np.int64)
+            return ids if self.b.spells(ids, raw) else None
+        words = text.split(" ")
+        self._learn(words)
+        found = list(map(self.words.__getitem__, words))
+        return np.frombuffer(b"".join(found), np.uint32).astype(np.int64) if all(found) else None
 
     def align(self, text: str | None):
         """(ids a, ids b, index of each group's last token in a, in b), or None where the text has no tokens."""
         if not text:
             return None
         raw = (" " + text).encode()
-        ids_b = np.array(self.encoder_b.encode(text), np.int64)
-        if not self.b.spells(ids_b, raw):
+        ids_b = self._second(text, raw)
+        if ids_b is None:
             return None
         ids_a = np.frombuffer(self.encoder_a.encode(" " + text), self.encoder_a.dtype).astype(np.int64)
         if not self.a.spells(ids_a, raw):
