@@ -46,7 +46,7 @@ SAMPLE, ROUNDS, SENTENCES = 10_000, 5, 3
 #: Landmarks: most telling units and the likelihood ratio they must exceed; clean units like them, out of so many frequent ones; frequent ones.
 TELLING, CHANCE, ALIKE, OUT_OF, PLAIN = 128, 20.0, 32, 5000, 16
 #: Letters a subsequence may span, weight per letter of span, characters of a window.
-SPAN, DECAY, WINDOW = 8, 0.8, 24
+SPAN, DECAY, WINDOW = 7, 0.8, 24
 #: Penalty of the machine's errors, least eigenvalue in whitening.
 COST, LEAST = 10.0, 0.01
 #: Units whose scores a worker remembers; words handled at a time.
@@ -67,39 +67,47 @@ def _kind_table() -> np.ndarray:
     return out
 
 
-def kinds_of(unit: str) -> np.ndarray:
-    points = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+def _kinds(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     table = _kind_table()
     return np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 27 + points % 5)
 
 
-def windows_of(unit: str) -> list[np.ndarray]:
-    """Letter kinds of the unit without the marks around it, in overlapping windows."""
-    kinds = kinds_of(unit)
-    letters = np.nonzero(kinds)[0]
-    if len(letters) < 3:
-        return []
-    kinds = kinds[letters[0]:letters[-1] + 1]
+def windows_of(units: list[str]):
+    """(owner, windows of one length): letter kinds of the units without the marks around them, long ones in overlapping
+    windows; units of fewer than three letters have none."""
+    kinds = _kinds("".join(units))
+    owner = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
+    at = np.nonzero(kinds)[0]
+    first = np.nonzero(np.concatenate([[True], np.diff(owner[at]) != 0]))[0] if len(at) else at
+    letters = np.diff(first, append=len(at))
+    first, last = first[letters >= 3], (first + letters - 1)[letters >= 3]
+    start, length, unit = at[first], at[last] - at[first] + 1, owner[at[first]]
     step = WINDOW // 2
-    return [kinds[at:at + WINDOW] for at in range(0, max(1, len(kinds) - step), step)]
+    long = np.nonzero(length > WINDOW)[0]
+    more = [(start[i] + lo, min(WINDOW, length[i] - lo), unit[i]) for i in long.tolist() for lo in range(0, length[i] - step, step)]
+    keep = length <= WINDOW
+    start, length, unit = (np.concatenate([x[keep], [m[k] for m in more]]).astype(np.int64)
+                           for k, x in enumerate((start, length, unit)))
+    for n in np.unique(length).tolist():
+        own = np.nonzero(length == n)[0]
+        yield unit[own], kinds[start[own][:, None] + np.arange(n)]
 
 
 @cache
-def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j, k) of all subsequences of three in ``n`` letters, and their weights."""
-    found = [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
-    at = np.array(found, np.int64).reshape(-1, 3)
-    return at, DECAY ** (at[:, 2] - at[:, 0] + 1).astype(np.float64)
+def _triples(n: int) -> np.ndarray:
+    """Positions (i, j, k) of all subsequences of three in ``n`` letters, and their spans less 3."""
+    found = [(i, j, k, k - i - 2) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
+    return np.array(found, np.int64).reshape(-1, 4).T
 
 
 def subsequences(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, code, weight) of windows of one length, each code of a window once; windows have norm 1."""
-    at, weight = _triples(windows.shape[1])
-    one, two, three = (windows[:, at[:, k]] for k in range(3))
-    row, col = np.nonzero((one > 0) & (two > 0) & (three > 0))
-    key = (row * _KINDS + one[row, col]) * _KINDS * _KINDS + two[row, col] * _KINDS + three[row, col]
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], weight[col[order]]
+    one, two, three, span = _triples(windows.shape[1])
+    one, two, three = (windows[:, at] for at in (one, two, three))
+    key = (((np.arange(len(windows))[:, None] * _KINDS + one) * _KINDS + two) * _KINDS + three) * 8 + span
+    key = np.sort(key[(one > 0) & (two > 0) & (three > 0)])  # the span in the last bits carries the weight
+    value, key = (DECAY ** np.arange(3, 11.0))[key & 7], key >> 3
     if not len(key):
         return key, key, value
     start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
@@ -109,43 +117,50 @@ def subsequences(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, key % _KINDS ** 3, value / norm[row]
 
 
+def _by_length(units: list[str]):
+    """(owner, windows, their subsequences) of the units' windows, some of one length at a time."""
+    for owner, windows in windows_of(units):
+        step = max(1, 100_000 // max(1, _triples(windows.shape[1]).shape[1]))
+        for lo in range(0, len(windows), step):
+            yield owner[lo:lo + step], windows[lo:lo + step], subsequences(windows[lo:lo + step])
+
+
 class Kernel:
     """The kernel between units and the landmarks."""
 
     def __init__(self, landmarks: list[str]):
         self.m = len(landmarks)
-        table = np.zeros((_KINDS ** 3, self.m), np.float32)
-        for j, unit in enumerate(landmarks):
-            for window in windows_of(unit)[:1]:
-                _, code, value = subsequences(window[None, :])
-                table[code, j] = value
-        used = np.nonzero(table.any(1))[0]
-        self.place = np.full(_KINDS ** 3, -1, np.int64)
-        self.place[used] = np.arange(len(used))
-        self.table = table[used]
-
-    def compute(self, units: list[str]) -> np.ndarray:
-        """Kernel values of the units, the best of each unit's windows."""
+        self.table = np.zeros((_KINDS ** 3, self.m), np.float32)
+        for owner, _, (row, code, value) in _by_length(landmarks):
+            self.table[code, owner[row]] = value
+
+    def compute(self, units: list[str], weights: np.ndarray | None = None) -> np.ndarray:
+        """Kernel values of the units: of a long one's windows that of the highest weight."""
         out = np.zeros((len(units), self.m), np.float32)
-        by_length: dict[int, list] = {}
-        for i, unit in enumerate(units):
-            for window in windows_of(unit):
-                by_length.setdefault(len(window), []).append((i, window))
-        for length, found in by_length.items():
-            step = max(1, 40_000 // max(1, len(_triples(length)[0])))
-            for lo in range(0, len(found), step):
-                some = found[lo:lo + step]
-                row, code, value = subsequences(np.array([w for _, w in some]))
-                place = self.place[code]
-                keep = np.nonzero(place >= 0)[0]
-                if not len(keep):
-                    continue
-                row = row[keep]
-                products = self.table[place[keep]] * value[keep, None].astype(np.float32)
-                start = np.nonzero(np.concatenate([[True], row[1:] != row[:-1]]))[0]
-                np.maximum.at(out, np.array([i for i, _ in some])[row[start]], np.add.reduceat(products, start))
+        best = np.full(len(units), -np.inf)
+        for owner, windows, (row, code, value) in _by_length(units):
+            step = max(1, 4_000_000 // (self.m + 1))
+            found = np.zeros((len(windows), self.m), np.float32)
+            for lo in range(0, len(row), step):
+                np.add.at(found, row[lo:lo + step], self.table[code[lo:lo + step]] * value[lo:lo + step, None].astype(np.float32))
+            weight = found @ weights if weights is not None else found.sum(1)
+            for w in np.argsort(weight, kind="stable"):
+                if weight[w] > best[owner[w]]:
+                    best[owner[w]], out[owner[w]] = weight[w], found[w]
         return out
 
+    def weigher(self, weights: np.ndarray) -> np.ndarray:
+        """The weight of each subsequence: scores of units are sums over their subsequences."""
+        return self.table.astype(np.float64) @ weights
+
+
+def scores_of(units: list[str], weigher: np.ndarray) -> np.ndarray:
+    """Scores: the highest of a unit's windows, 0 without any."""
+    out = np.full(len(units), -np.inf)
+    for owner, windows, (row, code, value) in _by_length(units):
+        np.maximum.at(out, owner, np.bincount(row, weigher[code] * value, len(windows)))
+    return np.where(np.isinf(out), 0.0, out)
+
 
 def sentences_of(text: str):
     """Lists of units; none of them is empty."""
@@ -159,24 +174,25 @@ class Scorer:
     """Unit scores, remembered, and the highest sentences of documents."""
 
     def __init__(self, landmarks, weights: np.ndarray):
-        self.kernel, self.weights, self.known = Kernel(list(landmarks)), weights, {}
+        self.weigher, self.known = Kernel(list(landmarks)).weigher(weights), {}
 
     def units(self, units: list[str]) -> np.ndarray:
-        fresh = [u for u in dict.fromkeys(units) if u not in self.known]
+        fresh = list(set(units).difference(self.known))
         if len(self.known) + len(fresh) > MEMO:
-            self.known = {}
-            fresh = list(dict.fromkeys(units))
+            self.known, fresh = {}, list(set(units))
         if fresh:
-            self.known.update(zip(fresh, (self.kernel.compute(fresh) @ self.weights).tolist()))
+            self.known.update(zip(fresh, scores_of(fresh, self.weigher).tolist()))
         return np.fromiter(map(self.known.__getitem__, units), np.float64, len(units))
 
-    def _pieces(self, texts):
-        """(document, score, highest unit) of sentences, some at a time."""
+    def _pieces(self, texts, named: bool):
+        """(document, score, highest unit if ``named``) of sentences, some at a time."""
         owner, start, units = [], [], []
 
         def flush():
             score, at = self.units(units), np.array(start)
             best = np.maximum.reduceat(score, at)
+            if not named:
+                return np.array(owner), best, None
             hit = np.nonzero(score == np.repeat(best, np.diff(at, append=len(score))))[0]
             first = hit[np.searchsorted(hit, at)]
             return np.array(owner), best, [units[i] for i in first.tolist()]
@@ -193,15 +209,15 @@ class Scorer:
         if units:
             yield flush()
 
-    def highest(self, texts) -> list[list[tuple[float, str]]]:
-        """Per document its ``SENTENCES`` highest sentences: score and highest unit, falling."""
+    def highest(self, texts, named: bool = False) -> list[list[tuple[float, str]]]:
+        """Per document its ``SENTENCES`` highest sentences: score and highest unit (empty unless ``named``), falling."""
         out: list[list] = [[] for _ in texts]
-        for owner, score, unit in self._pieces(texts):
+        for owner, score, unit in self._pieces(texts, named):
             order = np.lexsort((-score, owner))
             start = np.nonzero(np.concatenate([[True], np.diff(owner[order]) != 0]))[0]
             rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
             for i in order[rank < SENTENCES].tolist():
-                out[owner[i]].append((float(score[i]), unit[i]))
+                out[owner[i]].append((float(score[i]), unit[i] if named else ""))
         return [sorted(found, key=lambda x: (-x[0], x[1]))[:SENTENCES] for found in out]
 
 
@@ -345,7 +361,7 @@ def _padded(found, usual: float) -> np.ndarray:
 def _witnesses(landmarks: tuple, weights: np.ndarray):
     def witnesses(batches):
         for batch in batches:
-            found = scorer_of(landmarks, weights).highest(batch["text"].to_pylist()) if batch.num_rows else []
+            found = scorer_of(landmarks, weights).highest(batch["text"].to_pylist(), named=True) if batch.num_rows else []
             yield pa.RecordBatch.from_pydict({
                 "toxic": batch["toxic"], "scores": pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64())),
                 "units": pa.array([[u for _, u in f] for f in found], pa.list_(pa.string()))})
@@ -367,7 +383,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
         chosen = [(r["toxic"], u) for r in found for k, (s, u) in enumerate(zip(r["scores"], r["units"]))
                   if k == 0 or not r["toxic"] or s > edge]
         number = {u: i for i, u in enumerate(dict.fromkeys(u for _, u in chosen))}
-        x = (kernel.compute(list(number)).astype(np.float64) @ whitening)[[number[u] for _, u in chosen]]
+        x = (kernel.compute(list(number), weights).astype(np.float64) @ whitening)[[number[u] for _, u in chosen]]
         w = support_vector_machine(x, np.where(np.array([t for t, _ in chosen]) > 0, 1.0, -1.0))
         weights, edge = whitening @ w[:-1], -w[-1]
     last = rows.mapInArrow(_witnesses(tuple(landmarks), weights), "toxic int, scores array<double>, units array<string>").collect()

@@ -174,9 +174,9 @@ def plain_kernel(s, t):
                     if kinds[i] and kinds[j] and kinds[k]:
                         out[kinds[i], kinds[j], kinds[k]] += toxicity.DECAY ** (k - i + 1)
         return out
-    y = features(toxicity.windows_of(t)[0].tolist())
+    y = features(next(toxicity.windows_of([t]))[1][0].tolist())
     dot = lambda p, q: sum(v * q[k] for k, v in p.items())
-    some = [features(w.tolist()) for w in toxicity.windows_of(s)]
+    some = [features(w.tolist()) for _, found in toxicity.windows_of([s]) for w in found]
     return max(dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5 for x in some)
 
 
