@@ -9,14 +9,14 @@ Least squares and elastic nets are exact (``operators.gram``) and checked by val
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, Word2Vec
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import fixed, text as T
-from scorewright.operators import gram, metrics, models as M, splits, textfeat, vocab as V
+from scorewright.operators import gram, metrics, models as M, splits, textfeat, topics, vocab as V
 from scorewright.plans import sql as S
 from scorewright.plans.catalog import query, rounded
 from scorewright.plans.selection_q import ZV_SQL
@@ -272,7 +272,6 @@ ROUNDS = 20
 FROM (VALUES ('train'), ('val')) v(s), range(1, {ROUNDS + 1}) t(i)""")
 def q_training_history(spark, sf_dir):
     """Loss after every boosting round; on the training rows it never rises."""
-    from pyspark.sql import Window
     df = _vector_frame(spark, sf_dir)
     parts = {k: df.filter(F.col("split") == k) for k in ("train", "val")}
     history = M.training_history(M.gbt(max_iter=ROUNDS).fit(parts["train"]), parts)
@@ -330,41 +329,66 @@ def q_save_load(spark, sf_dir):
 
 # ---- topic models ------------------------------------------------------------
 
-TOPICS, TOP_TERMS = 5, 10
+TOPICS, TOP_TERMS, PASSES = 5, 10, 10
 
 
 def _lda(spark, sf_dir):
-    """Counts over the whole vocabulary (document frequency from 2 to 95 %), staged for the fit's passes.
+    """Counted documents over the terms of 2 to 95 % of the essays, the fitted model and the bound of each pass.
 
-    MLlib keeps the vocabulary and the topic matrix in the driver: that is how far its topic models scale."""
+    The model is fitted once for the same essays and then read from the shared folder."""
     e = essays(spark, sf_dir)
-    docs = staging.stage(e.select("id", T.remove_stopwords(T.vocabulary_terms(F.col("text"))).alias("terms")), "lda-terms")
-    cv = CountVectorizer(inputCol="terms", outputCol="counts", minDF=2.0, maxDF=0.95, vocabSize=(1 << 31) - 1).fit(docs)
-    counts = staging.stage(cv.transform(docs).select("id", "counts"), "lda-counts")
-    return cv, LDA(k=TOPICS, maxIter=10, optimizer="online", seed=0, featuresCol="counts").fit(counts), counts
+    terms = staging.stage(e.select("id", T.remove_stopwords(T.vocabulary_terms(F.col("text"))).alias("terms")), "lda-terms")
+    stats = V.corpus_term_stats(terms, F.col("terms"), stop_words=False)
+    docs = topics.term_counts(terms, staging.stage(V.vocabulary_from_stats(stats, e.count(), 2, 0.95), "lda-vocabulary"))
 
+    def build():
+        model, bounds = topics.fit(docs, TOPICS, PASSES)
+        passes = spark.createDataFrame([(None, [float(b)], i) for i, b in enumerate(bounds)],
+                                       "term string, weights array<double>, pass int")
+        return model.withColumn("pass", F.lit(None).cast("int")).unionByName(passes)
 
-@query("lda_topics", f"""{TF_SQL}, v AS (SELECT count(*) AS terms FROM stats, nd WHERE df >= 2 AND df <= 0.95 * nd.nd)
-SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, v.terms AS vocabulary, true AS in_vocabulary, true AS ordered
+    stored = staging.remembered(spark, "lda", terms, build)
+    passes = stored.filter("pass IS NOT NULL").orderBy("pass").collect()  # one row per pass
+    return e, docs, stored.filter("pass IS NULL").select("term", "weights"), [r["weights"][0] for r in passes]
+
+
+LDA_VOCAB_SQL = f"{TF_SQL}, known AS (SELECT term, n FROM stats, nd WHERE df >= 2 AND df <= 0.95 * nd.nd)"
+
+
+@query("lda_topics", f"""{LDA_VOCAB_SQL}, v AS (SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS occurrences FROM known)
+SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, v.terms AS vocabulary, v.occurrences, true AS in_vocabulary,
+       true AS ordered, CAST({PASSES} AS INTEGER) AS passes, true AS bound_rises
 FROM v, range({TOPICS}) a(t), range(1, {TOP_TERMS + 1}) b(r)""")
 def q_lda_topics(spark, sf_dir):
-    cv, lda, _ = _lda(spark, sf_dir)
-    vocabulary = cv.vocabulary
-    rows = []
-    for t in lda.describeTopics(TOP_TERMS).collect():  # TOPICS x TOP_TERMS entries
-        weights = list(t["termWeights"])
-        for i, (at, w) in enumerate(zip(t["termIndices"], weights)):
-            rows.append((int(t["topic"]), i + 1, len(vocabulary), vocabulary[at] not in fixed.STOP_WORDS and 0 < w <= 1,
-                         i == 0 or weights[i - 1] >= w))
-    return spark.createDataFrame(rows, "topic int, rank int, vocabulary long, in_vocabulary boolean, ordered boolean")
-
-
-@query("lda_doc_topics", f"WITH {S.ESSAYS} SELECT id, CAST({TOPICS} AS INTEGER) AS topics, 1.0 AS total, true AS shares FROM essays")
+    """Ten passes over every essay: topics share out exactly the occurrences of the vocabulary, and the bound never falls."""
+    _, docs, model, bounds = _lda(spark, sf_dir)
+    rises = len(bounds) == PASSES and all(b >= a - 1e-9 * abs(a) for a, b in zip(bounds, bounds[1:]))
+    top = topics.top_terms(model, TOPICS, TOP_TERMS)
+    seen = docs.select(F.explode("terms").alias("term")).distinct()
+    mass = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w) - 1.0
+    total = model.agg(F.count("*").alias("terms"), F.round(F.sum(mass)).cast("bigint").alias("occurrences")).first()
+    order = Window.partitionBy("topic").orderBy("rank")  # TOPICS x TOP_TERMS rows
+    held = F.col("known").isNotNull() & ~F.col("term").isin(list(fixed.STOP_WORDS)) & F.col("share").between(1e-12, 1)
+    return top.join(seen.withColumn("known", F.lit(True)), "term", "left").select(
+        "topic", "rank", F.lit(total["terms"]).alias("vocabulary"), F.lit(total["occurrences"]).cast("bigint").alias("occurrences"), held.alias("in_vocabulary"),
+        (F.col("share") <= F.coalesce(F.lag("share").over(order), F.col("share"))).alias("ordered"),
+        F.lit(len(bounds)).alias("passes"), F.lit(rises).alias("bound_rises"))
+
+
+@query("lda_doc_topics", f"""{LDA_VOCAB_SQL},
+own AS (SELECT id, CAST(sum(tf) AS BIGINT) AS tokens FROM tf WHERE term IN (SELECT term FROM known) GROUP BY id)
+SELECT id, coalesce(tokens, 0) AS tokens, CAST({TOPICS} AS INTEGER) AS topics, 1.0 AS total, true AS shares
+FROM essays LEFT JOIN own USING (id)""")
 def q_lda_doc_topics(spark, sf_dir):
-    """Mixtures: shares that add up to one (an essay without a known term gets no share of any topic)."""
-    _, lda, counts = _lda(spark, sf_dir)
-    mix = lda.transform(counts).select("id", vector_to_array("topicDistribution").alias("mix"))
-    total = F.aggregate("mix", F.lit(0.0), lambda a, x: a + x)
-    empty = F.forall("mix", lambda x: x == 0)
-    return mix.select("id", F.size("mix").alias("topics"), F.when(empty, F.lit(1.0)).otherwise(F.round(total, 6)).alias("total"),
-                      F.forall("mix", lambda x: (x >= 0) & (x <= 1 + 1e-9)).alias("shares"))
+    """Essays folded into the stored model: shares that add up to one, from weights that add up to the essay's known
+    occurrences and the prior (an essay without a known term keeps the even prior)."""
+    e, docs, model, _ = _lda(spark, sf_dir)
+    mix = e.select("id").join(topics.infer(docs, model, TOPICS), "id", "left")
+    even = F.array(*(F.lit(1.0 / TOPICS) for _ in range(TOPICS)))
+    mix = mix.withColumn("weights", F.coalesce("weights", even))
+    sum_ = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
+    shares = F.transform("weights", lambda w: w / F.col("sum"))
+    return mix.withColumn("sum", sum_).select(
+        "id", F.round(F.col("sum") - 1.0).cast("bigint").alias("tokens"), F.size("weights").alias("topics"),
+        F.round(F.aggregate(shares, F.lit(0.0), lambda s, w: s + w), 6).alias("total"),
+        F.forall(shares, lambda x: (x >= 0) & (x <= 1 + 1e-9)).alias("shares"))

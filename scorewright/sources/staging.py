@@ -7,9 +7,14 @@ staged files, not from the raw text) and survives the session, unlike
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import os
+from collections.abc import Callable
 
-from scorewright.session import scratch_path
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scorewright.session import ensure_checkpoint_dir, scratch_path
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
@@ -19,3 +24,17 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, path:
         w = w.partitionBy(*partition_by)
     w.parquet(target)
     return df.sparkSession.read.parquet(target)
+
+
+def remembered(spark: SparkSession, name: str, inputs: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
+    """A fitted table, kept in the shared folder under its inputs' fingerprint: fitted once, read by whoever asks again.
+
+    The fingerprint counts the rows of ``inputs`` and folds their hashes, so other inputs get another table."""
+    got = inputs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*inputs.columns)).alias("h"),
+                     F.sum(F.xxhash64(*inputs.columns, F.lit(1)).cast("decimal(38,0)")).alias("s")).first()
+    key = hashlib.md5(f"{got['n']}:{got['h']}:{got['s']}".encode()).hexdigest()
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", f"{name}-{key}")
+    done = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
