@@ -9,14 +9,13 @@ Least squares and elastic nets are exact (``operators.gram``) and checked by val
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import fixed, text as T
-from scorewright.operators import gram, metrics, models as M, splits, textfeat, topics, vocab as V
+from scorewright.operators import embeddings, gram, metrics, models as M, splits, textfeat, topics, vocab as V
 from scorewright.plans import sql as S
 from scorewright.plans.catalog import query, rounded
 from scorewright.plans.selection_q import ZV_SQL
@@ -163,51 +162,58 @@ def q_grid_search(spark, sf_dir):
 
 # ---- word vectors and essay vectors -----------------------------------------
 
-#: The reference's word vectors: length, least count, context words on either side.
-DIMS, MIN_COUNT, CONTEXT = 300, 40, 10
+DIMS, MIN_COUNT, EPOCHS = embeddings.DIMS, embeddings.MIN_COUNT, embeddings.EPOCHS
 
 
 def _sentences(spark, sf_dir):
-    """Word lists of the sentences, stop words out (they never reach the vectors)."""
+    """(id, sent_no, words): word lists of the sentences, stop words out (they never reach the vectors)."""
     e = essays(spark, sf_dir)
     marked = F.regexp_replace(T.strip(F.col("text")), r"([.!?])\s+", "$1\u0001")
-    s = e.select(F.explode(F.split(marked, "\u0001", -1)).alias("sentence"))
-    return s.select(T.remove_stopwords(T.normalized_words(F.col("sentence"))).alias("words")).filter(F.size("words") > 0)
+    s = e.select("id", F.posexplode(F.split(marked, "\u0001", -1)).alias("sent_no", "sentence"))
+    words = T.remove_stopwords(T.normalized_words(F.col("sentence")))
+    return s.select("id", "sent_no", words.alias("words")).filter(F.size("words") > 0)
 
 
-def _word2vec(spark, sf_dir):
-    """MLlib keeps one vector table in the driver and trains a copy per partition; tables are read as they are."""
+def _word_model(spark, sf_dir):
+    """(word, n, kept, vector), trained once for the same sentences and then read from the shared folder."""
     sentences = staging.stage(_sentences(spark, sf_dir), "sentences")
-    w2v = Word2Vec(vectorSize=DIMS, windowSize=CONTEXT, minCount=MIN_COUNT, seed=42, inputCol="words", outputCol="v",
-                   numPartitions=max(1, sentences.rdd.getNumPartitions()), maxIter=1)
-    counts = sentences.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    known = counts.filter(F.col("n") >= MIN_COUNT)
-    return (w2v.fit(sentences) if known.limit(1).count() else None), known
+    return staging.remembered(spark, "word-vectors", sentences, lambda: embeddings.fit(sentences))
 
 
 def _vectors(spark, sf_dir):
-    model, known = _word2vec(spark, sf_dir)
-    if model is None:  # no word is frequent enough
-        return spark.createDataFrame([], "word string, vector array<double>"), known
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector")), known
+    return _word_model(spark, sf_dir).select("word", F.col("vector").cast("array<double>").alias("vector"))
 
 
-WORDS_SQL = f"""{SENT_SQL}, sw AS (SELECT unnest({S.remove_stopwords(S.normalized_words('sentence'))}) AS word FROM x),
+WORDS_SQL = f"""{SENT_SQL},
+sw AS (SELECT id, sent_no, unnest(ws) AS word, unnest(range(len(ws))) AS place
+       FROM (SELECT id, sent_no, {S.remove_stopwords(S.normalized_words('sentence'))} AS ws FROM x)),
 wc AS (SELECT word, count(*) AS n FROM sw GROUP BY word HAVING count(*) >= {MIN_COUNT})"""
-
-
-@query("train_word_vectors", f"{WORDS_SQL} SELECT word, n, CAST({DIMS} AS INTEGER) AS dims, true AS finite FROM wc")
+_KEPT = [f"k{e}" for e in range(EPOCHS)]
+_DRAWN_SQL = ", ".join(f"(('0x' || substr(h, {1 + embeddings.DIGITS * e}, {embeddings.DIGITS}))::BIGINT / 16777216.0::DOUBLE < share)::BIGINT AS k{e}"
+                       for e in range(EPOCHS))
+
+
+@query("train_word_vectors", f"""{WORDS_SQL},
+t AS (SELECT {embeddings.SAMPLE}::DOUBLE * sum(n)::DOUBLE AS t FROM wc),
+p AS (SELECT word, n, least(1.0, (sqrt(n::DOUBLE / t) + 1) * t / n::DOUBLE) AS share FROM wc, t),
+d AS (SELECT id, sent_no, word, n, share, md5(concat(id, ':', sent_no, ':', place)) AS h FROM sw JOIN p USING (word)),
+k AS (SELECT id, sent_no, word, n, {_DRAWN_SQL} FROM d),
+c AS (SELECT *, {', '.join(f"{k} = 1 AND sum({k}) OVER (PARTITION BY id, sent_no) > 1 AS near_{k}" for k in _KEPT)} FROM k)
+SELECT word, any_value(n) AS n, CAST(sum({' + '.join(_KEPT)}) AS BIGINT) AS kept, CAST({DIMS} AS INTEGER) AS dims, true AS finite,
+       bool_or({' OR '.join(f"near_{k}" for k in _KEPT)}) AS moved FROM c GROUP BY word""")
 def q_train_word_vectors(spark, sf_dir):
-    vecs, known = _vectors(spark, sf_dir)
-    finite = F.forall("vector", lambda v: ~F.isnan(v) & (F.abs(v) < 1e6))
-    return known.join(vecs, "word", "full").select("word", "n", F.size("vector").alias("dims"), finite.alias("finite"))
+    """Five epochs over all sentences: occurrences kept by subsampling, and whether training has moved the vector (it
+    moves those of words that ever stand beside another)."""
+    moved = F.exists(F.zip_with("vector", embeddings.start_vector(), lambda a, b: F.abs(a - b) > 1e-9), lambda x: x)
+    finite = F.forall("vector", lambda v: ~F.isnan(v) & (F.abs(v) < 1e3))
+    return _word_model(spark, sf_dir).select("word", "n", "kept", F.size("vector").alias("dims"), finite.alias("finite"),
+                                             moved.alias("moved"))
 
 
 @query("export_word_vectors", f"{WORDS_SQL} SELECT word, CAST({DIMS} AS INTEGER) AS dims, true AS same FROM wc")
 def q_export_word_vectors(spark, sf_dir):
     """Written as float32 and read again: every word with the vector it had."""
-    vecs, _ = _vectors(spark, sf_dir)
-    vecs = staging.stage(vecs, "word-vectors")
+    vecs = _vectors(spark, sf_dir)
     read = staging.stage(vecs.select("word", F.col("vector").cast("array<float>").alias("vector")), "exported-vectors")
     close = F.forall(F.zip_with(F.col("a"), F.col("b"), lambda a, b: F.abs(a - b) < 1e-6), lambda x: x)
     return vecs.select("word", F.col("vector").alias("a")).join(read.withColumnRenamed("vector", "b"), "word", "full") \
@@ -221,7 +227,7 @@ s AS (SELECT *, CASE WHEN {S.split_hash('id', 42)} % 100 < 70 THEN 'train'
 
 
 def _essay_vectors(spark, sf_dir):
-    vecs = staging.stage(_vectors(spark, sf_dir)[0], "word-vectors")  # its size decides how words are looked up
+    vecs = _vectors(spark, sf_dir)  # its size decides how words are looked up
     e = splits.train_val_test(essays(spark, sf_dir), "id", 42)
     e = e.filter(F.col("score").between(1, 10))
     words = e.select("id", T.remove_stopwords(T.normalized_words(F.col("text"))).alias("words"))
