@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import fixed, text as T
-from scorewright.operators import embeddings, gram, metrics, models as M, splits, textfeat, topics, vocab as V
+from scorewright.operators import embeddings, gram, metrics, models as M, splits, svm, textfeat, topics, vocab as V
 from scorewright.plans import sql as S
 from scorewright.plans.catalog import query, rounded
 from scorewright.plans.selection_q import ZV_SQL
@@ -96,12 +96,24 @@ def q_fit_random_forest(spark, sf_dir):
     return _within_training_range(df, M.predict_by_topic(df, PRED, "random_forest"))
 
 
-@query("fit_linear_svc", RANGE_SQL)
+@query("fit_linear_svc", f"""{SPLIT2},
+c AS (SELECT topic, count(DISTINCT score) AS k FROM s WHERE split = 'train' GROUP BY topic)
+SELECT id, topic, true AS valid, CASE WHEN k > 1 THEN k ELSE 0 END AS optimal FROM s JOIN c USING (topic) WHERE split = 'test'""")
 def q_fit_linear_svc(spark, sf_dir):
+    """One-vs-rest machines with the reference's C: predictions are training classes of the topic, and each
+    class's machine satisfies the optimality conditions (all of them counted)."""
     df = _model_frame(spark, sf_dir)
-    p = M.predict_by_topic(df, PRED, "linear_svc")
-    whole = F.col("prediction") == F.round("prediction")
-    return _within_training_range(df, p.withColumn("prediction", F.when(whole, F.col("prediction"))))
+    train = df.filter(F.col("split") == "train")
+    scale, weights, slope = svm.fit(train, PRED, "target_score", "topic")
+    p = svm.predict(df.filter(F.col("split") == "test"), PRED, "topic", scale, weights)
+    n = {}
+    for (topic, _), value in slope.items():  # largest entry of each problem's gradient
+        n[topic] = n.get(topic, 0) + int(value < 1e-3)
+    good = F.create_map(*[F.lit(x) for topic, k in n.items() for x in (topic, k)]) if n else F.create_map(F.lit(""), F.lit(0))
+    seen = train.select("topic", F.col("target_score").alias("prediction")).distinct().withColumn("seen", F.lit(True))
+    return p.join(staging.stage(seen, "training-classes"), ["topic", "prediction"], "left").select(
+        "id", "topic", F.coalesce("seen", F.lit(False)).alias("valid"),
+        F.coalesce(good[F.col("topic")], F.lit(0)).cast("long").alias("optimal"))
 
 
 @query("model_leaderboard", f"""{SPLIT2}
