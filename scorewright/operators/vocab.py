@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions import fixed, text as T
 from scorewright.operators.relational import row_number_by
+from scorewright.sources import staging
 
 
 def stopword_frame(spark, words=None) -> DataFrame:
@@ -93,15 +94,52 @@ def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "id") -> Data
     return w.select(key, "term", (F.col("_w") / norm).alias("tfidf"))
 
 
-def word_cloud_frequencies(df: DataFrame, text: str = "text", k: int = 200) -> DataFrame:
-    """(term, n, rel): top-k words and adjacent word pairs (stop words out), relative to the top count."""
-    words = T.remove_stopwords(T.normalized_words(F.col(text)))
-    x = df.select(words.alias("w"))
-    pairs = F.filter(F.zip_with(F.col("w"), F.slice(F.col("w"), 2, 1 << 30),
-                                lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
-                     lambda p: p.isNotNull())
-    grams = x.select(F.explode(F.concat(F.col("w"), pairs)).alias("term"))
-    top = grams.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "term").limit(k)
+#: Log-likelihood ratio above which two adjacent words are one term.
+COLLOCATION = 30.0
+
+
+def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
+    least = F.lit(1e-10)
+    return F.log(F.greatest(p, least)) * k + F.log(F.greatest(1 - p, least)) * (n - k)
+
+
+def collocation_score(pair: Column, first: Column, second: Column, total: Column) -> Column:
+    """Dunning's log-likelihood ratio: does the second word follow the first more often than other words?
+
+    Counts of the pair, of both words and of all words."""
+    pair, first, second, total = (c.cast("double") for c in (pair, first, second, total))
+    rest, others = second - pair, F.greatest(total - first, F.lit(1.0))
+    alike, after, elsewhere = second / total, pair / first, rest / others
+    return -2 * (_log_likelihood(pair, first, alike) + _log_likelihood(rest, others, alike)
+                 - _log_likelihood(pair, first, after) - _log_likelihood(rest, others, elsewhere))
+
+
+def collocations(words: DataFrame, threshold: float = COLLOCATION) -> tuple[DataFrame, DataFrame]:
+    """(word, n) of ``words`` (w: word arrays), and (a, b, n, score) of the adjacent pairs that score above ``threshold``.
+
+    Both counts combine map-side; the pair counts meet the words' counts in two joins, which Spark broadcasts or
+    shuffles by the size of the staged counts.  Both results are staged."""
+    single = staging.stage(words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    total = single.agg(F.sum("n")).first()[0] or 1
+    after = F.slice("w", 2, 1 << 30)
+    pairs = F.filter(F.zip_with("w", after, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"].isNotNull())
+    counted = words.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    own = lambda name: single.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
+    scored = counted.join(own("a"), "a").join(own("b"), "b").select(
+        "a", "b", "n", collocation_score(F.col("n"), F.col("n_a"), F.col("n_b"), F.lit(total)).alias("score"))
+    return single, staging.stage(scored.filter(F.col("score") > threshold), "collocations")
+
+
+def word_cloud_frequencies(df: DataFrame, text: str = "text", k: int = 200, threshold: float = COLLOCATION) -> DataFrame:
+    """(term, n, rel): top-k words and collocations (stop words out), relative to the top count.
+
+    A collocation's occurrences are taken off both its words; a word without any left is no term."""
+    words = df.select(T.remove_stopwords(T.normalized_words(F.col(text))).alias("w"))
+    single, pairs = collocations(words, threshold)
+    taken = pairs.select(F.explode(F.array("a", "b")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("taken"))
+    alone = single.join(taken, "word", "left").select(F.col("word").alias("term"), (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"))
+    both = alone.filter(F.col("n") > 0).unionByName(pairs.select(F.concat_ws(" ", "a", "b").alias("term"), "n"))
+    top = both.orderBy(F.col("n").desc(), "term").limit(k)
     return top.withColumn("rel", F.col("n") / F.max("n").over(Window.partitionBy()))
 
 

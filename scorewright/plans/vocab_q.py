@@ -103,11 +103,33 @@ def q_tfidf(spark, sf_dir):
     return rounded(V.tfidf(tf, vocab, n))
 
 
-@query("word_cloud_frequencies", f"""WITH {E},
+def _ll(k, n, p):
+    return f"(ln(greatest({p}, 1e-10::DOUBLE)) * {k} + ln(greatest(1 - {p}, 1e-10::DOUBLE)) * ({n} - {k}))"
+
+
+COLLOCATION_SQL = f"""WITH {E},
 w AS (SELECT {S.remove_stopwords(S.normalized_words('text'))} AS ws FROM essays),
-g AS (SELECT unnest(ws) AS term FROM w
-      UNION ALL SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
-top AS (SELECT term, count(*) AS n FROM g GROUP BY term ORDER BY n DESC, term LIMIT 200)
+c AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM w) GROUP BY word),
+g AS (SELECT ws[i] AS a, ws[i + 1] AS b, count(*) AS n FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w) GROUP BY ALL),
+f AS (SELECT g.a, g.b, g.n, g.n::DOUBLE AS k, x.n::DOUBLE AS n1, y.n::DOUBLE - g.n AS r, y.n::DOUBLE / t.n AS p,
+             greatest(t.n::DOUBLE - x.n, 1) AS m
+      FROM g JOIN c x ON g.a = x.word JOIN c y ON g.b = y.word, (SELECT sum(n) AS n FROM c) t),
+scored AS (SELECT a, b, n, -2 * ({_ll('k', 'n1', 'p')} + {_ll('r', 'm', 'p')} - {_ll('k', 'n1', '(k / n1)')} - {_ll('r', 'm', '(r / m)')}) AS score
+           FROM f),
+pairs AS (SELECT * FROM scored WHERE score > {V.COLLOCATION})"""
+
+
+@query("word_collocations", f"{COLLOCATION_SQL} SELECT a, b, n, round(score, 3) AS score FROM pairs")
+def q_word_collocations(spark, sf_dir):
+    words = essays(spark, sf_dir).select(T.remove_stopwords(T.normalized_words(F.col("text"))).alias("w"))
+    return V.collocations(words)[1].select("a", "b", "n", F.round("score", 3).alias("score"))
+
+
+@query("word_cloud_frequencies", f"""{COLLOCATION_SQL},
+taken AS (SELECT word, sum(n) AS n FROM (SELECT a AS word, n FROM pairs UNION ALL SELECT b, n FROM pairs) GROUP BY word),
+terms AS (SELECT c.word AS term, CAST(c.n - coalesce(taken.n, 0) AS BIGINT) AS n FROM c LEFT JOIN taken USING (word)
+          UNION ALL SELECT a || ' ' || b, n FROM pairs),
+top AS (SELECT term, n FROM terms WHERE n > 0 ORDER BY n DESC, term LIMIT 200)
 SELECT term, n, round(n / max(n) OVER (), 6) AS rel FROM top""")
 def q_word_cloud(spark, sf_dir):
     return rounded(V.word_cloud_frequencies(essays(spark, sf_dir)))
