@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import fixed, text as T
-from scorewright.operators import embeddings, gram, metrics, models as M, splits, svm, textfeat, topics, vocab as V
+from scorewright.operators import boosting, embeddings, gram, metrics, models as M, splits, svm, textfeat, topics, vocab as V
 from scorewright.plans import sql as S
 from scorewright.plans.catalog import query, rounded
 from scorewright.plans.selection_q import ZV_SQL
@@ -269,18 +269,40 @@ def q_embedding_regression(spark, sf_dir):
                                    & F.coalesce(F.col("kappa").between(-1, 1), F.lit(True))).alias("consistent"))
 
 
-BOOSTS, PATIENCE = 60, 0.01
+#: Most boosting rounds, and the reference's patience.
+BOOSTS, PATIENCE = 40, 10
+
+
+def _stopped(spark, sf_dir):
+    df = _vector_frame(spark, sf_dir).filter(F.col("split") != "test")
+    model = boosting.Boosting(df, depth=3, step=0.3)
+    model.advance(BOOSTS, PATIENCE)
+    return df, model
 
 
 @query("early_stopping", f"""{ESSAY_SPLIT}
-SELECT split, count(*) AS n, true AS stopped_at_best FROM s WHERE split <> 'test' GROUP BY split""")
+SELECT split, count(*) AS n, true AS stopped_in_time, true AS none_lower, true AS restored FROM s WHERE split <> 'test' GROUP BY split""")
 def q_early_stopping(spark, sf_dir):
-    """Boosting ends once the validation loss stops falling: no kept model is followed by a clearly better kept one."""
-    df = _vector_frame(spark, sf_dir).filter(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
-    model = M.gbt(max_iter=BOOSTS, validation_col="is_val", tol=PATIENCE).fit(df)
-    loss = model.evaluateEachIteration(df.filter("is_val"), "squared")
-    good = 1 <= len(loss) <= BOOSTS and loss[-1] <= min(loss) + PATIENCE * max(min(loss), 0.01)
-    return df.groupBy("split").agg(F.count("*").alias("n")).withColumn("stopped_at_best", F.lit(bool(good)))
+    """Boosting ends ten rounds after its best round (or at the limit); no round before or after has a lower validation
+    loss, and the restored state, predicted anew from the features, has the best round's losses."""
+    df, model = _stopped(spark, sf_dir)
+    best, last = model.best_round(), len(model.trees)
+    train, val = model.history[best - 1][1:]
+    again = model.losses(model.predict(df))
+    n = df.groupBy("split").agg(F.count("*").alias("n"))
+    close = {"train": abs(again.get("train", 0.0) - train) < 1e-9 * max(1, train), "val": abs(again.get("val", 0.0) - val) < 1e-9 * max(1, val)}
+    return n.select("split", "n", F.lit(last - best == PATIENCE or last == BOOSTS).alias("stopped_in_time"),
+                    F.lit(all(h[2] >= val for h in model.history)).alias("none_lower"),
+                    F.when(F.col("split") == "train", close["train"]).otherwise(close["val"]).alias("restored"))
+
+
+@query("early_stopping_rounds")
+def q_early_stopping_rounds(spark, sf_dir):
+    """(round, train_loss, val_loss, is_best): the losses of every round up to the stop."""
+    _, model = _stopped(spark, sf_dir)
+    best = model.best_round()
+    return spark.createDataFrame([(r, float(t), float(v), r == best) for r, t, v in model.history],
+                                 "round int, train_loss double, val_loss double, is_best boolean")
 
 
 ROUNDS = 20
@@ -298,27 +320,38 @@ def q_training_history(spark, sf_dir):
     return history.select("split", "iteration", falls.alias("falls"))
 
 
-@query("tune_on_validation", """SELECT * FROM (VALUES ('random', 0, 10, 1), ('halving', 0, 9, 0), ('halving', 1, 3, 0), ('halving', 2, 1, 1))
-v(strategy, round, n_trials, n_best)""")
+def _hyperband(spark, sf_dir):
+    df = _vector_frame(spark, sf_dir).filter(F.col("split") != "test")
+    return boosting.hyperband(df, {"depth": [2, 3, 4], "step": [0.05, 0.1, 0.3]}, max_budget=9, factor=3)
+
+
+@query("hyperband_trials")
+def q_hyperband_trials(spark, sf_dir):
+    """(bracket, round, candidate, params, budget, val_loss, kept): every trial."""
+    return _hyperband(spark, sf_dir)
+
+
+@query("tune_on_validation", """SELECT * FROM (VALUES ('random', 0, 0, 0, 10, 1, true), ('hyperband', 0, 0, 1, 9, 3, true),
+('hyperband', 0, 1, 3, 3, 1, true), ('hyperband', 0, 2, 9, 1, 1, true), ('hyperband', 1, 0, 3, 5, 1, true),
+('hyperband', 1, 1, 9, 1, 1, true), ('hyperband', 2, 0, 9, 3, 1, true)) v(strategy, bracket, round, budget, n_trials, n_kept, best_kept)""")
 def q_tune(spark, sf_dir):
-    """Ten random trials of two runs each; successive halving of nine candidates by three: trials per round, one best each."""
+    """Ten random trials of two runs each, and Hyperband's brackets (nine rounds, factor three): trials and kept ones per
+    round, and whether none that went out had a lower loss than one that was kept."""
     df = _vector_frame(spark, sf_dir)
     space = {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.3], "maxIter": [10, 20]}
     train, val = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val")
     trials = M.tune_on_validation(train, val, lambda p, seed: M.gbt(
         max_iter=p["maxIter"], depth=p["maxDepth"], step=p["stepSize"], seed=seed), space, trials=10, runs=2)
-    halving = M.successive_halving(train, val, lambda p, budget, seed: M.gbt(
-        max_iter=budget, depth=p["maxDepth"], step=p["stepSize"], seed=seed),
-        {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.3]}, min_budget=2, factor=3, max_budget=18)
-    rows = trials.select(F.lit("random").alias("strategy"), F.lit(0).alias("round"), "val_mse", "params").unionByName(
-        halving.select(F.lit("halving").alias("strategy"), "round", "val_mse", "params"))
-    last = rows.groupBy("strategy").agg(F.max("round").alias("last"))
-    best = rows.join(last, "strategy").filter(F.col("round") == F.col("last")).groupBy("strategy", "round").agg(
-        F.min(F.struct("val_mse", "params")).alias("best"))
-    marked = rows.join(best, ["strategy", "round"], "left").withColumn(
-        "is_best", F.coalesce(F.struct("val_mse", "params") == F.col("best"), F.lit(False)).cast("int"))
-    return marked.groupBy("strategy", "round").agg(F.count("*").cast("int").alias("n_trials"),
-                                                   F.sum("is_best").cast("int").alias("n_best"))
+    first = trials.orderBy("val_mse", "trial").limit(1).select(F.col("trial").alias("best"))  # of ten rows
+    nothing = [F.lit(0).alias(c) for c in ("bracket", "round", "budget")]
+    rows = trials.join(F.broadcast(first), F.col("trial") == F.col("best"), "left").select(
+        F.lit("random").alias("strategy"), *nothing, F.col("val_mse").alias("val_loss"), F.col("best").isNotNull().alias("kept"))
+    rows = rows.unionByName(_hyperband(spark, sf_dir).select(F.lit("hyperband").alias("strategy"), "bracket", "round", "budget",
+                                                             "val_loss", "kept"))
+    worst, out = F.max(F.when(F.col("kept"), F.col("val_loss"))), F.min(F.when(~F.col("kept"), F.col("val_loss")))
+    return rows.groupBy("strategy", "bracket", "round", "budget").agg(
+        F.count("*").cast("int").alias("n_trials"), F.sum(F.col("kept").cast("int")).cast("int").alias("n_kept"),
+        F.coalesce(worst <= out, F.lit(True)).alias("best_kept"))
 
 
 def _regression(df):
