@@ -78,6 +78,28 @@ def q_fit_elastic_net(spark, sf_dir):
     return rounded(fits.select("topic", F.col("coefficients")[0].alias("coefficient"), "intercept"))
 
 
+@query("elastic_net_conditions", f"""{SPLIT2}
+SELECT topic, f.predictor, n_train, true AS optimal FROM (SELECT topic, count(*) AS n_train FROM s WHERE split = 'train' GROUP BY topic),
+(VALUES {', '.join(f"('{c}')" for c in PRED)}) f(predictor)""")
+def q_elastic_net_conditions(spark, sf_dir):
+    """The elastic net on all 30 predictors: whether each coefficient satisfies its optimality condition.
+
+    With g the mean product of the centred predictor and the residual: g = a1 sign(w) + a2 w where w is not 0,
+    and |g| <= a1 where it is."""
+    train = _model_frame(spark, sf_dir).filter(F.col("split") == "train")
+    fits = staging.stage(gram.elastic_nets(train, PRED, "target_score", ["topic"], EN_ALPHA, EN_RATIO), "elastic-nets")
+    e = F.col("target_score") - F.col("prediction")
+    found = gram.predict(train, fits, PRED, ["topic"]).groupBy("topic").agg(
+        F.count("*").alias("n_train"), F.array(*(F.covar_pop(F.col(c).cast("double"), e) for c in PRED)).alias("g"),
+        F.array(*(F.stddev_pop(F.col(c).cast("double")) for c in PRED)).alias("sd"))
+    each = found.join(fits.select("topic", "coefficients"), "topic").select("topic", "n_train", F.posexplode(F.arrays_zip(
+        F.array(*map(F.lit, PRED)).alias("predictor"), F.col("g"), F.col("sd"), F.col("coefficients").alias("w"))).alias("i", "c"))
+    g, w, a1, a2 = F.col("c.g"), F.col("c.w"), EN_ALPHA * EN_RATIO, EN_ALPHA * (1 - EN_RATIO)
+    off = F.when(w == 0, F.greatest(F.abs(g) - a1, F.lit(0.0))).otherwise(F.abs(g - a1 * F.signum(w) - a2 * w))
+    return each.select("topic", F.col("c.predictor").alias("predictor"), "n_train",
+                       (off < 1e-6 * (1 + F.col("c.sd"))).alias("optimal"))
+
+
 RANGE_SQL = f"""{SPLIT2}
 SELECT id, topic, true AS valid FROM s WHERE split = 'test'"""
 
