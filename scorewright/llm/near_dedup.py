@@ -48,6 +48,8 @@ FREQUENCIES, RARITY, VARIATES = 1 << 16, 0.25, 1 << 16
 LIMIT, NEAREST, HOPE = 2000, 3, 0.55
 #: Links of one document that one task verifies.
 FAN = 200
+#: Pairs of a document's shingles and hash functions that are sampled at once.
+AT_ONCE = 1 << 14
 _SALT = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -90,11 +92,14 @@ def sample(h: np.ndarray, weights: np.ndarray, variates) -> np.ndarray:
     r, inverse, log_c, beta = variates
     log_w = np.log(weights).astype(np.float32)
     out, level = np.empty(len(_SALT), np.uint64), np.empty(len(_SALT), np.int64)
-    for j, salt in enumerate(_SALT):
-        at = ((h * salt) >> np.uint64(48)).astype(np.int64)
-        t = np.floor(log_w * inverse[at] + beta[at])
-        best = int(np.argmin(log_c[at] - r[at] * (t - beta[at] + 1)))
-        out[j], level[j] = h[best], t[best]
+    step = max(1, AT_ONCE // len(h))
+    for start in range(0, len(_SALT), step):
+        some = slice(start, start + step)
+        at = ((h * _SALT[some, None]) >> np.uint64(48)).astype(np.int64)
+        shift = beta[at]
+        t = np.floor(log_w * inverse[at] + shift)
+        best = (log_c[at] - r[at] * (t - shift + 1)).argmin(axis=1)
+        out[some], level[some] = h[best], t[np.arange(len(at)), best]
     return mix((out + level.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ _SALT)
 
 
