@@ -31,6 +31,7 @@ id are one row; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +203,13 @@ def _meet(table):
     cuts = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(part[order]) != 0)) + 1
     rows = []
     for group in np.split(order, cuts):
+        if 1 < len(group) <= NEAREST + 1 and not split[group[0]]:  # everybody's nearest are all the others
+            own = np.frombuffer(b"".join(sigs[i] for i in group), "<u4").reshape(len(group), -1)
+            for x, y in combinations(range(len(group)), 2):
+                if np.count_nonzero(own[x] == own[y]) >= HOPE * own.shape[1]:
+                    a, b = sorted((int(ids[group[x]]), int(ids[group[y]])))
+                    rows.append((a, b, None, None))
+            continue
         if len(group) > 1:
             own = np.frombuffer(b"".join(sigs[i] for i in group), "<u4").reshape(len(group), -1)
             found, centres = pairs_of(ids[group], own)
@@ -242,10 +250,10 @@ def candidates(signed: DataFrame) -> DataFrame:
         size, most = counts.agg(F.sum("n"), F.max("n")).first()
         hot = F.col("n") > LIMIT
         part = F.when(hot, F.pmod(F.xxhash64("doc_id", F.lit(level)), F.ceil(F.col("n") / LIMIT))).otherwise(F.lit(-1))
-        groups = int((size or 0) // (20 * LIMIT)) + 1
+        groups = int((size or 0) // (2 * LIMIT)) + 1
         shuffle = F.pmod(F.xxhash64("band", "part"), F.lit(groups))
         met = (rows.join(counts, "band").withColumns({"part": part.cast("long"), "split": hot | F.lit(level > 0)})
-               .withColumn("g", shuffle).groupBy("g").applyInArrow(_meet, "a long, b long, band long, sig binary"))
+               .withColumn("g", shuffle).repartition(groups, "g").groupBy("g").applyInArrow(_meet, "a long, b long, band long, sig binary"))
         met, path2 = stage(met, "band-pairs")
         paths += [path, path2]
         own = met.filter("a is not null").select("a", "b")
