@@ -18,7 +18,10 @@ the centres of the parts meet again, so no task ever holds a whole hot bucket.
 second round verifies every other pair of a bucket whose samples give hope, but for
 pairs that the first round has proven to be in one class; a bucket over ``LIMIT`` rows
 is dealt into parts, a large class into parts of its own, and every part meets every
-other part that is not of its own class.  Verified links are joined to classes by
+other part that is not of its own class.  Of these pairs only those are verified whose
+similarity can reach the threshold at all: shingle weights added up in ``SKETCH`` cells by hash
+give an upper bound of it (a sum of minima is at most the minimum of sums), so the bound loses
+no link.  Verified links are joined to classes by
 passing on the smallest number; members (the copies of one digest) are numbered, so rows
 under one id or without any are told apart by their texts.
 
@@ -49,6 +52,8 @@ FREQUENCIES, RARITY, VARIATES = 1 << 16, 0.25, 1 << 16
 LIMIT, NEAREST, HOPE = 2000, 3, 0.55
 #: Links of one document that one task verifies.
 FAN = 200
+#: Cells of a document's added weights, weight from which a cell is no bound, allowance for half-precision cells.
+SKETCH, WIDE, SLACK = 128, 60_000.0, 0.005
 #: Pairs of a document's shingles and hash functions that are sampled at once.
 AT_ONCE = 1 << 14
 _SALT = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -104,6 +109,23 @@ def sample(h: np.ndarray, weights: np.ndarray, variates) -> np.ndarray:
     return mix((out + level.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ _SALT)
 
 
+def sketch(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights added up by hash; cells of ``WIDE`` stand for any weight from there on."""
+    cells = np.bincount((h >> np.uint64(40)).astype(np.int64) % SKETCH, weights, SKETCH)
+    return np.minimum(cells, WIDE).astype(np.float16)
+
+
+def can_reach(cells: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (i, j) of rows of ``cells`` may have a similarity of ``threshold``."""
+    out = np.ones(len(i), bool)
+    totals, wide = cells.sum(axis=1), (cells >= WIDE * 0.99).any(axis=1)
+    for start in range(0, len(i), 8192):
+        a, b = i[start:start + 8192], j[start:start + 8192]
+        least = np.minimum(cells[a], cells[b]).sum(axis=1)
+        out[start:start + 8192] = (least >= (threshold - SLACK) * (totals[a] + totals[b] - least)) | wide[a] | wide[b]
+    return out
+
+
 def rarities(rows: DataFrame) -> np.ndarray:
     """Damped inverse document frequency of each bucket of shingles, over all documents."""
     def count(batches):
@@ -124,23 +146,28 @@ def rarities(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, rarity) -> DataFrame:
-    """doc_id, key, digest of the words (null without words), samples."""
+    """doc_id, key, digest of the words (null without words), samples, added weights."""
     def sign(batches):
         variates = _variates()
         for batch in batches:
-            digest, sig = [], []
+            digest, sig, cells = [], [], []
             for text in batch["text"]:
                 words = words_of(text.as_py())
                 digest.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
                 if words:
                     h, tf = shingles(words)
-                    sig.append(sample(h, weighted(h, tf, rarity.value), variates).tobytes())
+                    weights = weighted(h, tf, rarity.value)
+                    sig.append(sample(h, weights, variates).tobytes())
+                    cells.append(sketch(h, weights).tobytes())
                 else:
                     sig.append(None)
+                    cells.append(None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "key": batch["key"],
-                                              "digest": pa.array(digest, pa.binary()), "sig": pa.array(sig, pa.binary())})
+                                              "digest": pa.array(digest, pa.binary()), "sig": pa.array(sig, pa.binary()),
+                                              "cells": pa.array(cells, pa.binary())})
 
-    return rows.select("doc_id", "key", "text").mapInArrow(sign, "doc_id long, key long, digest binary, sig binary")
+    return rows.select("doc_id", "key", "text").mapInArrow(
+        sign, "doc_id long, key long, digest binary, sig binary, cells binary")
 
 
 def _bands(batches):
@@ -281,23 +308,25 @@ def _places(batches):
 
 
 def _short(batches):
-    """(doc_id, short samples)."""
+    """(doc_id, short samples, added weights)."""
     for batch in batches:
         full = (np.frombuffer(x, np.uint64) for x in batch["sig"].to_pylist())
         yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "sig": pa.array(
-            [(x >> np.uint64(32)).astype("<u4").tobytes() for x in full], pa.binary())})
+            [(x >> np.uint64(32)).astype("<u4").tobytes() for x in full], pa.binary()), "cells": batch["cells"]})
 
 
-def _cross(table):
+def _cross(table, threshold):
     """One shuffle group holds many blocks: all hopeful pairs of each block whose ends have different labels
-    (and come from different sides, unless the block has but one, 2)."""
+    (and come from different sides, unless the block has but one, 2) and that can reach the threshold."""
     block = table["block"].combine_chunks().dictionary_encode()
     block = (block.combine_chunks() if isinstance(block, pa.ChunkedArray) else block).indices.to_numpy(zero_copy_only=False)
     ids, labels, side = (table[c].to_numpy() for c in ("doc_id", "label", "side"))
     sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(ids), -1)
+    cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.float16).reshape(len(ids), -1)
     order = np.argsort(block, kind="stable")
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for group in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        own = cells[group].astype(np.float32)
         for start in range(0, len(group), 64):
             some = group[start:start + 64]
             alike = np.zeros((len(some), len(group)), np.int16)
@@ -306,6 +335,8 @@ def _cross(table):
             alike[(labels[some][:, None] == labels[group]) | (ids[some][:, None] >= ids[group])] = 0
             alike[(side[some][:, None] == side[group]) & (side[group] != 2)] = 0
             i, j = np.nonzero(alike >= HOPE * sigs.shape[1])
+            near = can_reach(own, i + start, j, threshold)
+            i, j = i[near], j[near]
             left.append(ids[some[i]])
             right.append(ids[group[j]])
     return pa.table({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
@@ -340,12 +371,12 @@ def blocks_of(places: DataFrame) -> DataFrame:
     return small.unionByName(hot.select("block", "side", "doc_id", "label"))
 
 
-def remaining(signed: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+def remaining(signed: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
     """Distinct (a, b) pairs of a bucket that may be near copies, are not in one class yet and not in ``tried``."""
     spark = signed.sparkSession
     label = F.coalesce("label", "doc_id").alias("label")
     labelled, path = stage(signed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                           .select("doc_id", label, "sig"), "near-labelled")
+                           .select("doc_id", label, "sig", "cells"), "near-labelled")
     places = labelled.mapInArrow(_places, "band long, doc_id long, label long")
     mixed, path2 = stage(places.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"),
                                                     F.max("label").alias("high"))
@@ -353,10 +384,14 @@ def remaining(signed: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFra
     # one plan at every size: neither the buckets nor the samples are ever broadcast
     places, path3 = stage(places.join(mixed.hint("merge"), "band"), "near-places")
     blocks, path4 = stage(blocks_of(places), "near-blocks")
-    rows = blocks.join(labelled.mapInArrow(_short, "doc_id long, sig binary").hint("merge"), "doc_id")
-    groups = blocks.count() // (5 * LIMIT) + 1
-    found = (rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("g")
-             .applyInArrow(_cross, "a long, b long"))
+    rows = blocks.join(labelled.mapInArrow(_short, "doc_id long, sig binary, cells binary").hint("merge"), "doc_id")
+    groups = blocks.count() // (2 * LIMIT) + 1
+
+    def cross(table):
+        return _cross(table, threshold)
+
+    found = (rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).repartition(groups, "g").groupBy("g")
+             .applyInArrow(cross, "a long, b long"))
     pairs, _ = stage(found.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-remaining")
     release(spark, path, path2, path3, path4)
     return pairs
@@ -443,16 +478,16 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     signed, path = stage(signatures(rows, rarity), "near-signatures")
     total = signed.count()
     members = signed.filter("digest is not null").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "key", "sig")).alias("m"), F.count("*").alias("n"))
+        F.min(F.struct("doc_id", "key", "sig", "cells")).alias("m"), F.count("*").alias("n"))
     # written at once: the numbers do not change when a task runs again
     members, member_path = stage(members.select(
         F.monotonically_increasing_id().alias("node"), "digest", F.col("m.doc_id").alias("rep"),
-        F.col("m.key").alias("rep_key"), F.col("m.sig").alias("sig"), "n"), "near-members")
-    signatures_of = members.select(F.col("node").alias("doc_id"), "sig")
+        F.col("m.key").alias("rep_key"), F.col("m.sig").alias("sig"), F.col("m.cells").alias("cells"), "n"), "near-members")
+    signatures_of = members.select(F.col("node").alias("doc_id"), "sig", "cells")
     pairs = candidates(signatures_of)
     links = verify(pairs, rows, members, rarity, threshold)
     labels = classes(links)
-    more = verify(remaining(signatures_of, labels, pairs), rows, members, rarity, threshold)
+    more = verify(remaining(signatures_of, labels, pairs, threshold), rows, members, rarity, threshold)
     labels = classes(links.unionByName(more))
     reps = members.select("node", "digest", "rep", "rep_key", "n").join(labels, "node", "left")
     reps, rep_path = stage(reps.select("digest", F.coalesce("label", "node").alias("label"), "rep", "rep_key", "n"), "near-reps")

@@ -350,3 +350,34 @@ def test_op2_samples_agree_as_often_as_texts_overlap():
     ones = lambda x: np.ones(len(x)) * 1.1
     alike = np.mean(near_dedup.sample(a, ones(a), variates) == near_dedup.sample(b, ones(b), variates))
     assert abs(alike - 300 / 400) < 0.2
+
+
+def test_upper_bound_of_similarity_loses_no_pair():
+    rng = np.random.default_rng(9)
+    for size in (1, 4, 40, 300, 900):
+        for share in (0.02, 0.1, 0.3):
+            h = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            other = np.unique(np.concatenate([h[rng.random(len(h)) >= share], rng.integers(
+                0, 1 << 63, 1 + int(size * share), dtype=np.uint64)]))
+            weights = dict(zip(np.union1d(h, other).tolist(), (1 + 3 * rng.random(2 * size + 2)).tolist()))
+            a, b = ((x, np.array([weights[i] for i in x.tolist()])) for x in (h, other))
+            cells = np.stack([near_dedup.sketch(*a), near_dedup.sketch(*b)]).astype(np.float32)
+            pair = np.array([0]), np.array([1])
+            assert near_dedup.can_reach(cells, *pair, near_dedup.similarity(a, b))[0]
+    # cells of huge weight bound nothing, and strangers are told apart
+    huge = np.stack([near_dedup.sketch(np.arange(3, dtype=np.uint64), np.full(3, 1e9)), near_dedup.sketch(
+        np.arange(2, dtype=np.uint64), np.ones(2))]).astype(np.float32)
+    assert near_dedup.can_reach(huge, *pair, 0.8)[0]
+    apart = np.stack([near_dedup.sketch(np.arange(k, k + 20, dtype=np.uint64) << np.uint64(40), np.ones(20))
+                      for k in (0, 40)]).astype(np.float32)
+    assert not near_dedup.can_reach(apart, *pair, 0.8)[0]
+
+
+def test_samples_do_not_depend_on_how_many_are_drawn_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    h, w = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64)), 1 + rng.random(500)
+    variates = near_dedup._variates()
+    want = near_dedup.sample(h, w, variates)
+    for many in (1, 1000, 1 << 20):
+        monkeypatch.setattr(near_dedup, "AT_ONCE", many)
+        assert (near_dedup.sample(h, w, variates) == want).all()
