@@ -25,10 +25,17 @@ from scorewright.sources.tables import load
 
 def _without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
     """``docs`` but for the rows in ``dropped`` (doc_id, key); ``key`` tells the texts of rows with one id or none apart."""
-    gone = dropped.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
-    keyed = docs.withColumn("_key", key)
-    same = keyed["doc_id"].eqNullSafe(gone["_gone"]) & (keyed["_key"] == gone["_gone_key"])
-    return keyed.join(gone, same, "left_anti").drop("_key")
+    return _matched(docs, dropped.distinct(), key, "left_anti").select(*docs.columns)
+
+
+def _matched(docs: DataFrame, some: DataFrame, key: Column, how: str) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, key) is (not) in ``some``, with the key as last column, under a name that is free."""
+    name = "_key"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    keyed = docs.withColumn(name, key)
+    some = some.select(F.col("doc_id").alias("_some"), F.col("key").alias("_some_key"))
+    return keyed.join(some, keyed["doc_id"].eqNullSafe(some["_some"]) & (keyed[name] == some["_some_key"]), how)
 
 
 def _text_key() -> Column:
@@ -44,12 +51,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Exact de-duplication: the smallest doc_id of equal texts stays, once."""
     decided, _ = stage(exact_dedup(docs).withColumnRenamed("text_sha256", "key"), "exact-decisions")
     digest = F.sha2(normalised(F.coalesce("text", F.lit(""))), 256)
-    again = decided.filter("kept").groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key")
-    kept = _without(docs, decided.filter("NOT kept"), digest)
-    keyed, other = kept.withColumn("_key", digest), again.withColumnsRenamed({"doc_id": "_again", "key": "_again_key"})
-    repeated = keyed.join(other, keyed["doc_id"].eqNullSafe(F.col("_again")) & (F.col("_key") == F.col("_again_key")),
-                          "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return _without(kept, again, digest).unionByName(repeated)
+    each = decided.groupBy("doc_id", "key").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    # written first, so that Spark knows how few the repeats under one id are and does not shuffle all texts for them
+    again, _ = stage(each.filter("kept AND n > 1").select("doc_id", "key"), "exact-repeats")
+    rest = _without(docs, each.filter("NOT kept OR n > 1").select("doc_id", "key"), digest)
+    repeated = _matched(docs, again, digest, "left_semi")
+    return rest.unionByName(repeated.dropDuplicates(["doc_id", repeated.columns[-1]]).select(*docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
