@@ -48,6 +48,17 @@ def test_stages_decide_row_by_row(spark, case):
     assert three == [r for r in got if not r[1].startswith(item)]
 
 
+def test_clashing_columns_stay(spark, case):
+    folder, exact, _, norm = case
+    docs = documents(spark, folder).selectExpr("*", "n_chars AS _key", "1 AS _some", "2 AS `_KEY_`", "3 AS key")
+    got = corpus_pipeline.exact_copies(spark, docs, folder)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], norm(r["text"])) for r in got.collect()), key=repr) == sorted(exact.values(), key=repr)
+    assert all(r["_key"] == r["n_chars"] and (r["_some"], r["_KEY_"], r["key"]) == (1, 2, 3) for r in got.collect())
+    near = corpus_pipeline.near_copies(spark, docs, folder)
+    assert near.columns == docs.columns
+
+
 def test_run_packs_what_stays(spark, case):
     folder, exact, _, _ = case
     packed = corpus_pipeline.run(spark, folder)
