@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import fixed, text as T
-from scorewright.operators import boosting, embeddings, gram, metrics, models as M, splits, svm, textfeat, topics, vocab as V
+from scorewright.operators import boosting, embeddings, gram, metrics, models as M, splits, svm, textfeat, topics, trees, vocab as V
 from scorewright.plans import sql as S
 from scorewright.plans.catalog import query, rounded
 from scorewright.plans.selection_q import ZV_SQL
@@ -158,19 +158,38 @@ c AS (SELECT feature, bool_and(std = 0) AS constant FROM (SELECT feature, stddev
             UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(fixed.SELECTION_FEATURES)}))) GROUP BY feature) GROUP BY feature)
 SELECT feature, constant, 1.0 AS total, true AS valid FROM c""")
 def q_tree_importance(spark, sf_dir):
-    """Importances of 100 unbounded trees over the 28 selection features: non-negative, one in all, none for a constant.
-
-    MLlib grows random forests; it has no extra-trees."""
-    from pyspark.ml.classification import RandomForestClassifier
+    """Importances of 100 extremely randomised trees over the 28 selection features: non-negative, one in all,
+    none for a constant."""
     cols = fixed.SELECTION_FEATURES
-    df = _model_frame(spark, sf_dir).withColumn("label", F.col("target_score"))
-    model = M.Pipeline(stages=[M.assembler(cols), RandomForestClassifier(numTrees=100, seed=26, maxDepth=30)]).fit(df)
-    imp = [float(v) for v in model.stages[-1].featureImportances.toArray()]
+    df = _model_frame(spark, sf_dir)
+    imp = trees.fit(df, cols, "target_score").importances()
     std = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols]).first()
     rows = [(c, std[c] == 0, round(sum(imp), 6), v >= 0 and (std[c] > 0 or v == 0)) for c, v in zip(cols, imp)]
     return spark.createDataFrame(rows, "feature string, constant boolean, total double, valid boolean")
 
 
+@query("extra_trees_roots", f"""{ZV_SQL},
+names AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {j})" for j, c in enumerate(fixed.SELECTION_FEATURES))}) f(feature, j)),
+u AS (SELECT target_score, j, coalesce(v, 0) AS v FROM (SELECT target_score, {', '.join(f'{c}::DOUBLE AS {c}' for c in fixed.SELECTION_FEATURES)}
+      FROM features WHERE target_score IS NOT NULL) UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(fixed.SELECTION_FEATURES)})) JOIN names USING (feature)),
+r AS (SELECT j, min(v) AS lo, max(v) AS hi FROM u GROUP BY j HAVING min(v) < max(v)),
+d AS (SELECT tree, j, lo, hi, md5('{trees.SEED}:' || tree || ':0:' || j) AS digest FROM r, range({trees.TREES}) t(tree)),
+c AS (SELECT tree, j, lo + ('0x' || substr(digest, 25, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE * (hi - lo) AS cut FROM d
+      QUALIFY row_number() OVER (PARTITION BY tree ORDER BY digest) <= {trees.TRIES}),
+p AS (SELECT tree, j, cut, target_score, count(*) AS n, count(*) FILTER (v <= cut) AS l FROM c JOIN u USING (j) GROUP BY ALL),
+g AS (SELECT tree, j, cut, sum(n)::BIGINT AS n, sum(l)::BIGINT AS n_left, sum(l * l)::DOUBLE / sum(l)::DOUBLE
+             + sum((n - l) * (n - l))::DOUBLE / sum(n - l)::DOUBLE - sum(n * n)::DOUBLE / sum(n)::DOUBLE AS gain
+      FROM p GROUP BY tree, j, cut HAVING sum(l) > 0 AND sum(n - l) > 0)
+SELECT tree, feature, round(cut, 6) AS cut, round(gain, 6) AS gain, n, n_left FROM g JOIN names USING (j)
+QUALIFY row_number() OVER (PARTITION BY tree ORDER BY gain DESC, j) = 1""")
+def q_extra_trees_roots(spark, sf_dir):
+    """First split of each extremely randomised tree: feature, cut, fall of Gini impurity, rows on the left."""
+    cols = fixed.SELECTION_FEATURES
+    model = trees.fit(_model_frame(spark, sf_dir), cols, "target_score", depth=1)
+    rows = [(tree, cols[f], cut, gain, n, left) for tree, _, f, cut, gain, n, left in model.splits]
+    return rounded(spark.createDataFrame(rows, "tree long, feature string, cut double, gain double, n long, n_left long"))
+
+
 @query("grid_search_cv", f"""WITH {S.ESSAYS}, g AS (SELECT DISTINCT topic FROM essays)
 SELECT topic, 12 AS n_combinations, 1 AS n_best, true AS best_is_highest, true AS kappa_in_range FROM g""")
 def q_grid_search(spark, sf_dir):
