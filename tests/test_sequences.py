@@ -42,3 +42,21 @@ def test_average_word_vectors_known_only(spark):
     vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "word string, vector array<double>")
     out = {r.id: r.vector for r in V.average_word_vectors(words, vecs, 2).collect()}
     assert out[1] == [0.5, 1.5] and out[2] == [0.0, 0.0]
+
+
+def test_average_word_vectors_repeats_and_gaps(spark):
+    """Repeated keys share their words, a null key has none, a word with two vectors counts twice, whatever the blocks."""
+    rows = [(1, ["a", "b"]), (1, ["a"]), (None, ["a"]), (2, None), (3, []), (4, ["b", "b", "x"])]
+    words = spark.createDataFrame(rows + [(i, ["b"]) for i in range(10, 2500)], "id long, words array<string>")
+    vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [4.0, 0.0]), ("b", [0.0, 3.0]), ("x", None)], "word string, vector array<float>")
+    out = sorted(((r.id or 0, r.vector) for r in V.average_word_vectors(words, vecs, 2).collect()))
+    assert out[:6] == [(0, [0.0, 0.0]), (1, [2.0, 0.6]), (1, [2.0, 0.6]), (2, [0.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 3.0])]
+    assert len(out) == len(rows) + 2490 and all(v == [0.0, 3.0] for _, v in out[6:])
+
+
+def test_average_word_vectors_never_joins_vectors_to_occurrences(spark):
+    """The vector table meets each block's distinct words; a join with every occurrence shuffled a vector per word."""
+    words = spark.createDataFrame([(1, ["a", "b"])], "id long, words array<string>")
+    vecs = spark.createDataFrame([("a", [1.0])], "word string, vector array<double>")
+    plan = V.average_word_vectors(words, vecs, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Aggregate [part" in plan
