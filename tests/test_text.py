@@ -83,3 +83,23 @@ def test_grammar_match_offsets_agree_with_finditer(spark):
     exp = sorted((rid, m.start(), m.end() - m.start())
                  for rid, p, _ in fixed.GRAMMAR_RULES for m in regex.finditer(p, text))
     assert got == exp and len(got) >= 5
+
+
+ODD = ["Teh cat , the dog..It's TEH teh. Été Là,b  !! ran quickly 12 3,4 @CAPS1 @PERSON2's", "", None, "  ", "teh\n", "Ⓐ ⓐ Ⓐ _ x_1",
+       "ΑΣ'Α ΣΣ İstanbul istanbul", "\U00010400a.\U00010400b ,\U00010428 \U0001f600\U0001f600", "a b\x1cc\u0085d\x0be",
+       "Big Bear\tRan. Big  Bear @Big Bear @BIG1a", "1a 12 ² Ⅷ 中", "the The THE the; can't n't 's"]
+
+
+def test_counts_in_one_pass_are_those_of_the_annotations(spark):
+    from scorewright.functions import counting
+    df = spark.createDataFrame(list(enumerate(ODD)) + [(1, ODD[0]), (None, ODD[0])], "id long, text string")
+    told = textfeat.count_features(textfeat.annotate(df)).withColumn(
+        "squares", textfeat.sum_squared_counts(T.word_runs(F.col("text"))))
+    counted = textfeat.essay_counts(df)
+    assert sorted(map(str, counted.select("id", *counting.NAMES).collect())) == sorted(map(str, told.select("id", *counting.NAMES).collect()))
+
+
+def test_essay_features_calls_no_lambda_per_token(spark):
+    df = spark.createDataFrame([(1, "en", 3, "One two.")], "id long, topic string, score int, text string")
+    plan = textfeat.essay_features(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and plan.count("count_batch(") == 1
