@@ -381,3 +381,38 @@ def test_samples_do_not_depend_on_how_many_are_drawn_at_once(monkeypatch):
     for many in (1, 1000, 1 << 20):
         monkeypatch.setattr(near_dedup, "AT_ONCE", many)
         assert (near_dedup.sample(h, w, variates) == want).all()
+
+
+def test_differencing_places_single_pieces_without_sorting_all_windows():
+    import heapq
+    import random
+    import time
+    import numpy as np
+
+    def plain(lengths, k):
+        heap = [(-n, i, np.array([n], np.int64), [[i]]) for i, n in enumerate(lengths)]
+        heapq.heapify(heap)
+        number = len(lengths)
+        while len(heap) > 1:
+            (_, _, a, own), (_, _, b, other) = heapq.heappop(heap), heapq.heappop(heap)
+            both = max(len(a) + len(b) - k, 0)
+            keep, start = len(a) - both, len(b) - both
+            sums = np.concatenate((a[:keep], a[keep:] + b[start:][::-1], b[:start]))
+            members = own[:keep] + [x + y for x, y in zip(own[keep:], other[start:][::-1])] + other[:start]
+            order = np.argsort(-sums, kind="stable")
+            sums, members = sums[order], [members[i] for i in order]
+            heapq.heappush(heap, ((int(sums[-1]) if len(sums) == k else 0) - int(sums[0]), number, sums, members))
+            number += 1
+        return heap[0][3] if heap else []
+
+    rnd = random.Random(3)
+    for n, k, most in [(0, 3, 9), (1, 1, 9), (5, 1, 9), (9, 4, 3), (60, 7, 5), (400, 90, 256), (50, 60, 4)] * 5:
+        lengths = [rnd.randint(1, most) for _ in range(n)]
+        assert packing.difference(list(lengths), k) == plain(lengths, k)
+    lengths = [rnd.randint(1, 256) for _ in range(4096)]
+    took = []
+    for f in (plain, packing.difference):
+        t = time.process_time()
+        f(lengths, 520)
+        took.append(time.process_time() - t)
+    assert took[1] < 0.6 * took[0]
