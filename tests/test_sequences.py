@@ -60,3 +60,18 @@ def test_average_word_vectors_never_joins_vectors_to_occurrences(spark):
     vecs = spark.createDataFrame([("a", [1.0])], "word string, vector array<double>")
     plan = V.average_word_vectors(words, vecs, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "Aggregate [part" in plan
+
+
+def test_encoder_holds_few_essays_at_a_time(spark):
+    """A worker's memory follows the batch: no more than ENCODED_ROWS essays, fewer if the session asks for that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    words = spark.createDataFrame([(i, ["a", "b"]) for i in range(50)], "id long, words array<string>")
+    index = spark.createDataFrame([("a", 1)], "term string, idx long")
+    before = spark.conf.get(key)
+    try:
+        for asked, used in (("10000", V.ENCODED_ROWS), ("0", V.ENCODED_ROWS), ("7", 7)):
+            spark.conf.set(key, asked)
+            rows = V.encode_sequences(words, index).collect()
+            assert int(spark.conf.get(key)) == used and all(r.seq == [1] for r in rows) and len(rows) == 50
+    finally:
+        spark.conf.set(key, before)
