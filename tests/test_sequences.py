@@ -75,3 +75,18 @@ def test_encoder_holds_few_essays_at_a_time(spark):
             assert int(spark.conf.get(key)) == used and all(r.seq == [1] for r in rows) and len(rows) == 50
     finally:
         spark.conf.set(key, before)
+
+
+def test_tfidf_tasks_count_bounded_numbers_of_essays(spark, tmp_path, monkeypatch):
+    """Partitions by essay grow with the essays; Spark merged them by their compressed bytes. Values do not depend on it."""
+    from scorewright.plans import vocab_q
+    rows = [(i, f"shared{i % 12} word{i % 7} word{i % 5} word{i % 5}", "en", "web", 30) for i in range(100)] + [(3, "word1 shared1", "en", "web", 13)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {}
+    for size, parts in ((50, 3), (5, 21)):
+        monkeypatch.setattr(vocab_q, "COUNTED_ROWS", size)
+        monkeypatch.setattr(vocab_q, "LEAST_PARTS", 1)
+        got = vocab_q.q_tfidf(spark, str(tmp_path))
+        assert "hashpartitioning(id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and f", {parts})" in plan
+        found[size] = sorted(map(tuple, got.collect()))
+    assert found[50] == found[5] and len(found[5]) > 100
