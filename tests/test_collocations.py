@@ -33,3 +33,11 @@ def test_planted_pairs_and_leftover_counts(spark):
 def test_no_words(spark):
     df = spark.createDataFrame([(1, ""), (2, None)], "id long, text string")
     assert V.word_cloud_frequencies(df).count() == 0
+
+
+def test_adjacent_words_without_a_lambda(spark):
+    rows = [(0, None), (1, []), (2, ["x"]), (3, ["x", "y"]), (4, ["x", "y", "x", "x"])]
+    frame = spark.createDataFrame(rows, "id long, w array<string>").select("id", V.adjacent("w").alias("p"))
+    got = {r["id"]: [tuple(p) for p in r["p"] or []] for r in frame.collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [("x", "y")], 4: [("x", "y"), ("y", "x"), ("x", "x")]}
+    assert "lambda" not in frame._jdf.queryExecution().toString()
