@@ -18,12 +18,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scorewright.functions import counting, fixed, text as T
 from scorewright.operators import relational
 from scorewright.sources import staging
 
 PREDICTORS = fixed.PREDICTORS
+#: Words of all reference essays together that are sent to the tasks, at most.
+MOST_TERMS = 500_000
 
 
 def annotate(df: DataFrame, text: str = "text") -> DataFrame:
@@ -114,7 +117,7 @@ def reference_terms(essays: DataFrame, text: str = "text", topic: str = "topic")
     return staging.stage(counts.withColumn("rnorm", norm), "reference-terms")
 
 
-def with_similarity(essays: DataFrame, rows: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
+def with_similarity(essays: DataFrame, rows: DataFrame, refs: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
     """``rows`` (with id, topic and the in-row ``_norm``) plus their cosine with the topic's reference essay.
 
     The dot product sums the reference count of every word occurrence: exploded words meet the
@@ -122,11 +125,15 @@ def with_similarity(essays: DataFrame, rows: DataFrame, text: str = "text", topi
     (essay, term) table moves.  Essays that share no word get 0.
     """
     occurrences = essays.select("id", topic, F.explode(T.word_runs(F.col(text))).alias("term"))
-    dots = occurrences.join(reference_terms(essays, text, topic), [topic, "term"]).groupBy("id").agg(
+    dots = occurrences.join(refs, [topic, "term"]).groupBy("id").agg(
         F.sum("rtf").alias("_dot"), F.max("rnorm").alias("_rnorm"))
+    return cosines(rows.join(dots, "id", "left"))
+
+
+def cosines(rows: DataFrame) -> DataFrame:
+    """``similarity`` from ``_dot``, ``_norm`` and ``_rnorm``, which it drops; 0 where there is none."""
     sim = F.try_divide(F.col("_dot").cast("double"), F.col("_norm") * F.col("_rnorm"))
-    return rows.join(dots, "id", "left").withColumn("similarity", F.coalesce(sim, F.lit(0.0))) \
-        .drop("_dot", "_rnorm", "_norm")
+    return rows.withColumn("similarity", F.coalesce(sim, F.lit(0.0))).drop("_dot", "_rnorm", "_norm")
 
 
 def essay_norm(text: str = "text") -> Column:
@@ -135,7 +142,8 @@ def essay_norm(text: str = "text") -> Column:
 
 def reference_similarity(essays: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
     """(id, topic, similarity): cosine of term-frequency vectors against the topic's reference essay."""
-    return with_similarity(essays, essays.select("id", topic, essay_norm(text).alias("_norm")), text, topic)
+    rows = essays.select("id", topic, essay_norm(text).alias("_norm"))
+    return with_similarity(essays, rows, reference_terms(essays, text, topic), text, topic)
 
 
 def essay_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -147,13 +155,40 @@ def essay_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_counts", counted(F.col(text))).select("*", "_counts.*").drop("_counts")
 
 
+def counts_and_dots(df: DataFrame, refs: DataFrame, text: str = "text", topic: str = "topic") -> DataFrame:
+    """``essay_counts`` with ``_dot`` and ``_rnorm``, the product with the topic's reference essay, from the same pass.
+
+    As where the products are joined on the id, rows that share an id have their products together, and a
+    null id has none."""
+    terms, norms = {}, {}
+    for r in refs.collect():  # the words of one essay per topic, MOST_TERMS at most
+        terms.setdefault(r[topic], {})[r["term"]] = r["rtf"]
+        norms[r[topic]] = r["rnorm"]
+    counted = F.arrow_udf(counting.counter(terms), counting.DOT_TYPE)
+    out = df.withColumn("_counts", counted(F.col(text), F.col(topic))).select("*", "_counts.*").drop("_counts")
+    norm = F.create_map(*[F.lit(x) for pair in norms.items() for x in pair])[F.col(topic)] if norms else F.lit(None)
+    out = out.withColumn("_rnorm", F.when(F.col("dot") > 0, norm.cast("double")))
+    # rows without an id are alone: no task gets all of them
+    same = Window.partitionBy("id", F.when(F.col("id").isNull(), F.xxhash64(*counting.NAMES)))
+    known = F.col("id").isNotNull()
+    return out.select(*df.columns, *counting.NAMES, F.when(known, F.sum("dot").over(same)).alias("_dot"),
+                      F.when(known, F.max("_rnorm").over(same)).alias("_rnorm"))
+
+
 def essay_features(essays: DataFrame, text: str = "text", target: str = "score",
                    topic: str = "topic") -> DataFrame:
-    """(id, topic, target_score, 30 predictors): one pass over the text, then one join for the dot products."""
+    """(id, topic, target_score, 30 predictors): one pass over the text, given the words of the reference essays.
+
+    More reference words than ``MOST_TERMS`` (topics are few) are not sent to every task but joined."""
     slim = essays.select("id", topic, target, text)
-    feats = essay_counts(slim, text).withColumn("_norm", F.sqrt(F.col("squares").cast("double")))
-    feats = feats.select("id", topic, target, "_norm", *[p for p in PREDICTORS if p != "similarity"])
-    out = with_similarity(slim, feats, text, topic)
+    refs = reference_terms(slim, text, topic)
+    counted = [p for p in PREDICTORS if p != "similarity"]
+    norm = F.sqrt(F.col("squares").cast("double")).alias("_norm")
+    if refs.schema[topic].dataType == StringType() and refs.count() <= MOST_TERMS:
+        out = cosines(counts_and_dots(slim, refs, text, topic).select("id", topic, target, norm, "_dot", "_rnorm", *counted))
+    else:
+        rows = essay_counts(slim, text).select("id", topic, target, norm, *counted)
+        out = with_similarity(slim, rows, refs, text, topic)
     return out.select("id", topic, F.col(target).cast("double").alias("target_score"), *PREDICTORS)
 
 

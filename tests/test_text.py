@@ -103,3 +103,18 @@ def test_essay_features_calls_no_lambda_per_token(spark):
     df = spark.createDataFrame([(1, "en", 3, "One two.")], "id long, topic string, score int, text string")
     plan = textfeat.essay_features(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan and plan.count("count_batch(") == 1
+
+
+def test_essay_features_join_no_words_of_the_essays(spark, monkeypatch):
+    """The products with the reference essays come from the counting pass; rows are those of the join, whatever the ids."""
+    texts = ODD + ["One two. Two three", "two TWO teh one", None, ""]
+    rows = [(i, ["en", "de", None][i % 3], 1, t) for i, t in enumerate(texts)]
+    rows += [(90, "en", 9, "one two, teh Two three\u0130"), (91, "de", 9, "Two one"), (1, "de", 2, "two one"), (1, "en", 2, texts[1]), (None, "en", 1, "one two"), (None, "en", 1, "one two")]
+    df = spark.createDataFrame(rows, "id long, topic string, score int, text string")
+    got = textfeat.essay_features(df)
+    assert "explode(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(textfeat, "MOST_TERMS", 0)
+    want = textfeat.essay_features(df)
+    assert "explode(" in want._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.filter("similarity > 0").count() > 5
