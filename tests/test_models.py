@@ -66,6 +66,16 @@ def test_random_forest_importances_sum_to_one_and_seeded(spark):
     assert list(imp) == list(m2.stages[-1].featureImportances.toArray())
 
 
+def test_forest_rows_keep_their_nodes_and_predict_the_same(spark):
+    df = _frame(spark)
+    pipe = M.random_forest(["a", "b"], num_trees=8, max_depth=12)
+    assert pipe.getStages()[-1].getCacheNodeIds()
+    walked = M.random_forest(["a", "b"], num_trees=8, max_depth=12)
+    walked.getStages()[-1].setCacheNodeIds(False)
+    one, two = ({r.id: r.prediction for r in p.fit(df).transform(df).collect()} for p in (pipe, walked))
+    assert one == two and len(set(one.values())) > 10
+
+
 def test_svc_classes_reindexed(spark):
     df = _frame(spark).withColumn("target", F.col("label") * 3)  # classes 3, 6, 9: a gap-ful label set
     out = M.fit_predict_classifier(df, df, ["a", "b"], "target", max_iter=5)
